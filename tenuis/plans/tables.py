@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table stored in fewer files than there are cores; else leave it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -32,7 +38,7 @@ def pick(values: list[str], index: Column) -> Column:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Source documents: title is the first line, connector and trust follow the source number."""
     number = F.substring("source", 4, 10).cast("int")
-    base = table(spark, sf, "documents").select(
+    base = spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id"),
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
