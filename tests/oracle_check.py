@@ -67,14 +67,14 @@ def main() -> None:
     from tenuis.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session(), connect(sf)
+    spark = local_session()
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or list(queries)
     bad = []
     for name in names:
         start = time.time()
         try:
-            message, ok = compare(spark, con, name, queries[name], oracles.get(name), sf)
+            message, ok = compare(spark, connect(sf), name, queries[name], oracles.get(name), sf)
         except Exception as error:
             message, ok = f"{type(error).__name__}: {str(error)[:1500]}", False
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {message}", flush=True)
