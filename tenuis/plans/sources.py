@@ -36,7 +36,9 @@ def openalex_raw(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
     rows = t.spread(t.table(spark, sf, "documents"), "doc_id").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
     w = F.filter(F.split("title", " "), lambda x: x != "")
-    places = lambda word: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i) == word)
+    places = rows.select("doc_id", F.posexplode(w).alias("i", "word")).groupBy("doc_id", "word").agg(F.collect_list("i").alias("at"))
+    inverted = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("inverted"))
+    rows = rows.join(inverted, "doc_id", "left")
     node = lambda kind: F.struct(F.concat(F.lit(f"https://openalex.org/{kind}s/"), n % 7).alias("id"), F.lit(kind).alias("display_name"))
     topic = F.struct(
         F.concat(F.lit("https://openalex.org/T"), n % 97).alias("id"), F.concat(F.lit("Topic "), n % 97).alias("display_name"),
@@ -57,7 +59,7 @@ def openalex_raw(spark: SparkSession, sf: str) -> DataFrame:
             F.struct(F.struct(F.upper("source").alias("display_name")).alias("author"), F.array(F.struct(F.concat(F.lit("LAB "), F.upper("lang")).alias("display_name"))).alias("institutions")),
         ).alias("authorships"),
         F.struct(F.concat(F.lit("https://journal.example.org/"), n).alias("landing_page_url"), F.struct(F.col("source").alias("display_name")).alias("source")).alias("primary_location"),
-        F.map_from_arrays(F.array_distinct(w), F.transform(F.array_distinct(w), places)).alias("abstract_inverted_index"),
+        F.col("inverted").alias("abstract_inverted_index"),
         F.array(topic).alias("topics"), topic.alias("primary_topic"), F.array(keyword).alias("keywords"),
     )
     return responses(rows, "doc_id", record, "results")
