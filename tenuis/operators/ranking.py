@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenuis.session import cut_lineage
+
 
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
@@ -56,3 +58,29 @@ def trust_rank(tier: Column) -> Column:
         F.when(tier == "A", 0).when(tier == "B", 1).when(tier == "C", 2).when(tier == "D", 3)
         .otherwise(4)
     )
+
+
+def full_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Rank of every row in its group without one task per group.
+
+    Rows are range-partitioned by group and order, so a hot group spans many partitions; ranks
+    inside a partition are shifted by the sizes of the partitions before it.
+    """
+    ranged = cut_lineage(
+        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    )
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    placed = ranged.withColumn("_inside", inside).join(offsets.drop("_n"), [*keys, "_part"])
+    return placed.withColumn(rank, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
+def full_round_robin(
+    df: DataFrame, keys: Sequence[str], stratum: str, order: Sequence[Column], position: str = "position"
+) -> DataFrame:
+    """Place of every row when the strata of a key take turns; empty strata are skipped."""
+    turned = full_rank(df, [*keys, stratum], order, "_turn")
+    return full_rank(turned, keys, [F.col("_turn").asc(), F.col(stratum).asc()], position).drop("_turn")

@@ -42,6 +42,8 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
         t.pick(["A", "B", "C", "D", "unknown"], F.col("l_suppkey") % 5).alias("trust_tier"),
         F.when(F.col("l_suppkey") % 2 == 0, F.array("s_name")).otherwise(F.array().cast("array<string>")).alias("organizations"),
         F.concat(F.lit("pub "), F.col("l_suppkey") % 9).alias("publisher"),
+        F.col("l_shipdate").cast("date").alias("published_at"),
+        F.when(F.col("l_returnflag") == "A", "industry").otherwise("scientific").alias("source_class"),
         F.concat(F.lit("cust-"), "o_custkey").alias("origin_id"), "title_key", res.in_scope(F.col("title_key"), scope_words).alias("document_in_scope"),
     )
 
@@ -133,7 +135,7 @@ cl AS (SELECT 'part-' || l_partkey AS candidate_id,
     ELSE (['novelty','growth','research','patent','prototype','pilot','investment'])[CAST(l_quantity + l_linenumber AS INT) % 7 + 1] END AS kind,
   CASE WHEN l_linestatus = 'F' THEN 'support' ELSE 'counter' END AS direction, CASE WHEN l_returnflag = 'N' THEN 'core_only' ELSE 'full_candidate' END AS scope,
   (['A','B','C','D','unknown'])[l_suppkey % 5 + 1] AS trust_tier, CASE WHEN l_suppkey % 2 = 0 THEN lower(s_name) ELSE 'pub ' || (l_suppkey % 9) END AS actor,
-  'cust-' || o_custkey AS origin_id, title_key, contains(' ' || title_key || ' ', ' blue ') OR contains(' ' || title_key, ' widget') AS document_in_scope
+  'cust-' || o_custkey AS origin_id, title_key, CAST(l_shipdate AS DATE) AS published_at, CASE WHEN l_returnflag = 'A' THEN 'industry' ELSE 'scientific' END AS source_class, contains(' ' || title_key || ' ', ' blue ') OR contains(' ' || title_key, ' widget') AS document_in_scope
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN tt ON l_orderkey = o_orderkey),
 cs AS (SELECT *, scope = 'full_candidate' AS fc, kind IN ('adoption','standard','market') AS mk, kind = 'promotional_claim' AS pk,
   scope = 'full_candidate' AND direction = 'support' AND kind NOT IN ('adoption','standard','market','promotional_claim') AS sup FROM cl),
