@@ -20,23 +20,28 @@ def _forms(names: DataFrame, side: str) -> DataFrame:
     ).withColumnRenamed("form", f"{side}_form")
 
 
-def _rare_first(forms: DataFrame, column: str, weights: DataFrame) -> DataFrame:
+def _prefixes(forms: DataFrame, column: str, weights: DataFrame) -> DataFrame:
+    """Rarest words of a form for every size its partner may have.
+
+    Jaccard of at least one half between sizes a and b needs ceil((a + b) / 3) common words, so
+    two such forms share one of the a - ceil((a + b) / 3) + 1 rarest words of each.
+    """
     tokens = forms.select(column, F.explode(F.array_distinct(tx.words(F.col(column)))).alias("token"))
-    size = F.count(F.lit(1)).over(W.partitionBy(column))
     order = W.partitionBy(column).orderBy(F.col("weight").asc(), F.col("token").asc())
     ranked = tokens.join(weights, "token").withColumns(
-        {"size": size, "place": F.row_number().over(order)}
+        {"own": F.count(F.lit(1)).over(W.partitionBy(column)).cast("int"), "place": F.row_number().over(order)}
+    )
+    sized = ranked.select(
+        column, "token", "own", "place", F.explode(F.sequence(F.ceil(F.col("own") / 2).cast("int"), F.col("own") * 2)).alias("other")
     )
-    return ranked
+    return sized.where(F.col("place") <= F.col("own") - F.ceil((F.col("own") + F.col("other")) / 3) + 1).drop("place")
 
 
 def form_suggestions(left: DataFrame, right: DataFrame, generic: Sequence[str] = GENERIC_WORDS) -> DataFrame:
     """Pairs of normalized forms that are equal, share half of their words (two of them not
     generic), or contain each other.
 
-    Equal forms meet by equality. Word overlap uses prefix filtering: forms with Jaccard of at
-    least one half share a word among their rarest size - ceil(size/2) + 1 words. Containment
-    uses the rarest five-letter piece of the shorter form. Candidates with equal forms are
+    Equal forms meet by equality, overlapping forms on a rare word, and containment uses the rarest five-letter piece of the shorter form. Candidates with equal forms are
     counted, not multiplied out.
     """
     lf, rf = _forms(left, "left"), _forms(right, "right")
@@ -48,12 +53,9 @@ def form_suggestions(left: DataFrame, right: DataFrame, generic: Sequence[str] =
     weights = every.select(F.explode(F.array_distinct(tx.words(F.col("form")))).alias("token")).groupBy(
         "token"
     ).agg(F.count(F.lit(1)).alias("weight"))
-    prefix = F.col("place") <= F.col("size") - F.ceil(F.col("size") / 2) + 1
-    lt = _rare_first(lf, "left_form", weights).where(prefix).select("token", "left_form", F.col("size").alias("ln"))
-    rt = _rare_first(rf, "right_form", weights).where(prefix).select("token", "right_form", F.col("size").alias("rn"))
-    overlap = lt.join(rt, "token").where(
-        (F.col("ln") * 2 >= F.col("rn")) & (F.col("rn") * 2 >= F.col("ln"))
-    ).select("left_form", "right_form")
+    lt = _prefixes(lf, "left_form", weights).withColumnsRenamed({"own": "ln", "other": "rn"})
+    rt = _prefixes(rf, "right_form", weights).withColumnsRenamed({"own": "rn", "other": "ln"})
+    overlap = lt.join(rt, ["token", "ln", "rn"]).select("left_form", "right_form")
 
     contained = _contained(lf, "left_form", rf, "right_form").unionByName(
         _contained(rf, "right_form", lf, "left_form")

@@ -118,7 +118,7 @@ def mention_answers(spark: SparkSession, sf: str) -> DataFrame:
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     rows = pr.scored(spark, sf).where(F.col("relevance_class") != "none").select("candidate_id", "document_id", "term")
     texts = t.documents(spark, sf).select("document_id", "excerpt")
-    return ev.passages(rows.join(texts, "document_id")).withColumn("passage", F.sha2("passage", 256))
+    return ev.cut_passages(ev.passages(rows, texts), texts).withColumn("passage", F.sha2("passage", 256))
 
 
 def groundings(spark: SparkSession, sf: str) -> DataFrame:
