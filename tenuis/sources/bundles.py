@@ -41,8 +41,11 @@ def broken_files(spark: SparkSession, folder: str, version: str) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of one bundle table under a fixed schema."""
-    rows = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/{name}")
-    return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select("_bad")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(f"{folder}/{name}").where(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", f"{schema}, _bad STRING", options).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return rows.where(~bad).select("r.*").drop("_bad"), rows.where(bad).select("value")
 
 
 def json_lines(df: DataFrame, order: list[str]) -> DataFrame:
@@ -65,9 +68,9 @@ def read_positives(spark: SparkSession, path: str, domains: list[str]) -> tuple[
     """(model rows, violations) of the labelled positives: numbers in sequence from one, names
     given, domains known, scores three to seven. The rationale stays out of the model rows."""
     rows = spark.read.schema(POSITIVE_SCHEMA).option("header", "true").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    seen = rows.groupBy("number").agg(F.count(F.lit(1)).alias("_n"))
+    seen = rows.groupBy(F.col("number").alias("_number")).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    checked = rows.join(seen, F.col("number").eqNullSafe(seen["number"])).drop(seen["number"]).join(F.broadcast(total)).withColumn(
+    checked = rows.join(seen, F.col("number").eqNullSafe(F.col("_number"))).join(F.broadcast(total)).withColumn(
         "violation",
         F.when(F.col("_bad").isNotNull(), "bad_line")
         .when(F.col("number").isNull() | ~F.col("number").between(1, F.col("_total")) | (F.col("_n") > 1), "bad_number")
