@@ -236,6 +236,17 @@ def gate_context(documents: DataFrame, size: int = 3) -> DataFrame:
     return top_k(inside, ["proposal_id"], final, size, "position").drop("_turn")
 
 
+def scope_rows(scopes: DataFrame) -> DataFrame:
+    """Identity and boolean query of a search scope (scope_key, search_texts): single-spaced
+    texts, each spelling once, quoted and joined by OR."""
+    tidy = F.filter(
+        F.transform("search_texts", lambda x: tx.squash(F.replace(x, F.lit('"'), F.lit(" ")))), lambda x: x != ""
+    )
+    rows = scopes.withColumn("texts", tx.first_spelling(tidy))
+    query = F.array_join(F.transform("texts", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " OR ")
+    return rows.select("scope_key", digest_id("scope-", F.array_join("texts", "|")).alias("scope_id"), query.alias("scope_query"))
+
+
 def conflicting_copies(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Ids whose rows disagree in the compared columns."""
     digest = F.xxhash64(*columns)

@@ -204,7 +204,17 @@ def verified_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ent.verified_documents(names, links, fields)
 
 
+def scope_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One scope per part: name, upper-case name, quoted brand, blank."""
+    rows = t.table(spark, sf, "part").select(
+        F.concat(F.lit("part-"), "p_partkey").alias("scope_key"),
+        F.array(F.replace("p_name", F.lit(" "), F.lit("  ")), F.upper("p_name"), F.concat(F.lit('"'), "p_brand", F.lit('" ')), F.lit(" ")).alias("search_texts"),
+    )
+    return ent.scope_rows(rows)
+
+
 QUERIES = {
+    "scope_queries": scope_queries,
     "candidate_proposals": candidate_proposals,
     "proposal_exclusions": proposal_exclusions,
     "proposal_members": proposal_members,
@@ -286,6 +296,8 @@ dec AS (SELECT *, CASE WHEN trigger = 'exact' THEN 'same_candidate' WHEN token_j
 _PROP_ORDER = "origins DESC, documents DESC, coalesce(max_score, -1) DESC, key"
 
 ORACLES = {
+    "scope_queries": """SELECT 'part-' || p_partkey AS scope_key, 'scope-' || substr(sha256(p_name || '|' || p_brand), 1, 16) AS scope_id,
+ '"' || p_name || '" OR "' || p_brand || '"' AS scope_query FROM part""",
     "candidate_proposals": MENTIONS_SQL + "SELECT * FROM prop",
     "proposal_exclusions": MENTIONS_SQL + "SELECT mention_id, m.key, connector, reason FROM mentions m JOIN grp g USING (key) WHERE reason IS NOT NULL",
     "proposal_members": MENTIONS_SQL + """SELECT DISTINCT proposal_id, role, member FROM (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenuis.functions import text as tx
 from tenuis.operators import evidence as ev
 from tenuis.operators import relevance as rel
+from tenuis.operators import selection as sel
 from tenuis.plans import relevance as pr
 from tenuis.plans import tables as t
 
@@ -135,6 +136,36 @@ def term_support(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("candidate_id", "document_id", "term_pos", ev.supports_term(F.col("excerpt_key"), F.col("term_key")).alias("supported"))
 
 
+def cued_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts followed by a sentence that names the start of the text with a maturity cue."""
+    n = F.col("doc_id")
+    cue = t.pick(["is widely used in production.", "is a promising future challenge of adoption.", "has no use."], n % 3)
+    head = F.array_join(F.slice(tx.words(F.col("excerpt_key")), 1, 4), " ")
+    docs = t.documents(spark, sf)
+    return docs.select("document_id", head.alias("term"), F.concat_ws(" ", F.concat("excerpt", F.lit(".")), F.concat_ws(" ", head, cue)).alias("excerpt"))
+
+
+def maturity_passages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = cued_documents(spark, sf)
+    links = docs.select(F.lit("cand-0").alias("candidate_id"), "document_id", "term").where(F.col("term") != "")
+    return ev.maturity_passages(links, docs.select("document_id", "excerpt"))
+
+
+def evidence_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pr.kept(spark, sf).where(F.col("relevance_class") != "none").withColumn(
+        "source_class", F.when(F.col("connector") == "openalex", "scientific").otherwise("industry")
+    )
+    chosen = sel.evidence_documents(rows)
+    spans = ev.passages(chosen.select("candidate_id", "document_id", "term"), t.documents(spark, sf).select("document_id", "excerpt"))
+    return ev.evidence_tasks(chosen.select("candidate_id", "document_id"), spans)
+
+
+def promotion_status(spark: SparkSession, sf: str) -> DataFrame:
+    cands = t.candidates(spark, sf)
+    decisions = cands.select("candidate_id", t.pick(["accept", "accept", "reject", "review"], F.col("item_id") % 4).alias("decision"))
+    return ev.promotion_status(cands, groundings(spark, sf), decisions)
+
+
 def retry_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Primary and retry runs of every customer; claims of the retry are its orders over 400 000."""
     k = F.col("c_custkey")
@@ -151,6 +182,7 @@ QUERIES = {
     for name in (
         "evidence_claims", "evidence_failures", "evidence_document_results", "gate_decisions", "gate_audit", "gate_attempts",
         "mention_answers", "passages", "groundings", "term_support", "retry_merge",
+        "maturity_passages", "evidence_tasks", "promotion_status",
     )
 }
 
@@ -181,6 +213,10 @@ WHERE contains(' ' || k || ' ', ' ' || term || ' ')""",
     "term_support": t.BASE_SQL + """, w AS (SELECT candidate_id, document_id, term_pos, string_split(term, ' ') AS tw, ' ' || excerpt_key || ' ' AS k FROM links JOIN terms USING (candidate_id) JOIN docs USING (document_id))
 SELECT candidate_id, document_id, term_pos, len(list_filter(list_distinct(tw), lambda x: contains(k, ' ' || x || ' '))) >= least(3, len(list_distinct(tw)))
  AND len(list_filter(list_transform(range(1, len(tw)), lambda i: tw[i] || ' ' || tw[i+1]), lambda x: contains(k, ' ' || x || ' '))) > 0 AS supported FROM w""",
+    "promotion_status": t.BASE_SQL + """, gr AS (SELECT candidate_id, bool_or(term_pos = 0) AS n FROM links JOIN terms USING (candidate_id)
+JOIN (SELECT document_id, unnest([title_key, excerpt_key]) AS k FROM docs WHERE published_at IS NOT NULL) USING (document_id) WHERE contains(' ' || k || ' ', ' ' || term || ' ') GROUP BY 1)
+SELECT candidate_id, CASE WHEN n IS NULL THEN 'not_grounded' WHEN item_id % 4 < 2 THEN CASE WHEN n THEN 'evidence_review_required' ELSE 'alias_review_required' END
+ WHEN item_id % 4 = 2 THEN 'gate_rejected' ELSE 'gate_review' END AS promotion_status FROM cands LEFT JOIN gr USING (candidate_id)""",
     "retry_merge": """WITH p AS (SELECT 'cust-' || c_custkey AS candidate_id, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'complete' END AS ps,
  CASE WHEN c_acctbal > 3000 THEN CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'complete' END END AS rs, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS h FROM customer),
 u AS (SELECT *, coalesce(rs = 'complete', false) AND (h OR ps = 'failed') AS u FROM p)
