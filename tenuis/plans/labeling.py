@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenuis.functions import text as tx
@@ -74,9 +75,9 @@ def queue_deficits(spark: SparkSession, sf: str) -> DataFrame:
 def queue_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Every slot selects the part of its number folded to half of the parts."""
     rows = slots(spark, sf)
-    total = t.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("_n"))
+    total = t.row_count(t.table(spark, sf, "part"))
     number = F.substring("slot_id", 6, 12).cast("bigint")
-    chosen = rows.join(F.broadcast(total)).select("slot_id", "domain", F.concat(F.lit("part-"), number * 3 % (F.col("_n") + 50)).alias("group_id"))
+    chosen = rows.select("slot_id", "domain", F.concat(F.lit("part-"), number * 3 % (total + 50)).alias("group_id"))
     return lab.fill_selected(groups(spark, sf), chosen)
 
 
@@ -149,8 +150,6 @@ def maturity_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def publicity_input(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     rows = pr.kept(spark, sf).where(F.col("score") >= 13)
     place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.col("score").desc(), F.col("document_id")))
     media = rows.where(F.col("connector") == "mediacloud").withColumn("media_rank", place)

@@ -18,9 +18,9 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of orders: 8 to 11 words of a benchmark text from a start that depends on the order."""
     w = tx.words(tx.identity_key(F.col("text")))
     items = t.table(spark, sf, "benchmark").select("item_id", w.alias("w"))
-    total = t.table(spark, sf, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
     k = F.col("o_orderkey")
-    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(F.broadcast(total)).withColumn("item_id", k % F.col("_n"))
+    total = t.row_count(t.table(spark, sf, "benchmark"))
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey").withColumn("item_id", k % total)
     return orders.join(items, "item_id").select(
         "o_orderkey", "o_custkey", F.array_join(F.slice("w", (k % 5 + 1).cast("int"), (k % 4 + 8).cast("int")), " ").alias("title_key")
     )

@@ -31,6 +31,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def row_count(df: DataFrame) -> Column:
+    """Number of rows as a scalar subquery."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -107,14 +112,9 @@ def links(spark: SparkSession, sf: str, docs: DataFrame, cands: DataFrame) -> Da
         "candidate_id", F.explode("search_terms").alias("term")
     ).select("candidate_id", F.explode(tx.bigrams(F.split("term", " "), " ")).alias("pair")).distinct()
     found = pairs.join(term_pairs, "pair").select("candidate_id", "document_id")
-    total = table(spark, sf, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = (
-        docs.select("doc_id", "document_id")
-        .join(F.broadcast(total))
-        .select(
-            F.concat(F.lit("cand-"), (F.col("doc_id") * 7 + 3) % F.col("_n")).alias("candidate_id"),
-            "document_id",
-        )
+    total = row_count(table(spark, sf, "benchmark"))
+    numbered = docs.select(
+        F.concat(F.lit("cand-"), (F.col("doc_id") * 7 + 3) % total).alias("candidate_id"), "document_id"
     )
     return found.unionByName(numbered).distinct()
 

@@ -69,11 +69,11 @@ def read_positives(spark: SparkSession, path: str, domains: list[str]) -> tuple[
     given, domains known, scores three to seven. The rationale stays out of the model rows."""
     rows = spark.read.schema(POSITIVE_SCHEMA).option("header", "true").option("columnNameOfCorruptRecord", "_bad").csv(path)
     seen = rows.groupBy(F.col("number").alias("_number")).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    checked = rows.join(seen, F.col("number").eqNullSafe(F.col("_number"))).join(F.broadcast(total)).withColumn(
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    checked = rows.join(seen, F.col("number").eqNullSafe(F.col("_number"))).withColumn(
         "violation",
         F.when(F.col("_bad").isNotNull(), "bad_line")
-        .when(F.col("number").isNull() | ~F.col("number").between(1, F.col("_total")) | (F.col("_n") > 1), "bad_number")
+        .when(F.col("number").isNull() | ~F.col("number").between(1, total) | (F.col("_n") > 1), "bad_number")
         .when(F.coalesce(F.trim("name"), F.lit("")) == "", "blank_name")
         .when(~F.coalesce(F.col("domain").isin(domains), F.lit(False)), "unknown_domain")
         .when(~F.coalesce(F.col("score").between(3, 7), F.lit(False)), "bad_score"),
