@@ -196,6 +196,8 @@ _FAIL = """WITH tk AS (SELECT conv_id, count(*) AS n, bool_or(turn = 1) AS has1
 """
 
 ORACLES = {
+    "evidence_failures": _FAIL + """SELECT 'task-' || conv_id AS task_id, CASE WHEN conv_id % 17 = 6 THEN 'invalid_json' WHEN conv_id % 11 = 5 THEN 'candidate_differs' ELSE 'documents_differ' END AS failure
+ FROM tk WHERE conv_id % 17 = 6 OR conv_id % 11 = 5 OR (conv_id % 13 = 4 AND has1)""",
     "gate_decisions": _GATE + "SELECT batch_id, proposal_id, decision, reason, issue FROM gd",
     "gate_audit": _GATE + "SELECT decision, reason, count(*) AS proposals FROM (SELECT CASE WHEN decision = 'accept' AND p_size > 40 THEN 'review' ELSE decision END AS decision, CASE WHEN decision = 'accept' AND p_size > 40 THEN 'insufficient_context' ELSE reason END AS reason FROM gd) GROUP BY ALL",
     "gate_attempts": _GATE + """SELECT batch_id, CASE WHEN count(*) FILTER (issue = 'invalid_decision') > 0 THEN 2 ELSE 1 END AS attempt,
