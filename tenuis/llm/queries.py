@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, pii
+from tenuis.llm import chat, decontaminate, language, nbest, pii
 from tenuis.llm.common import table
 
 
@@ -14,6 +14,14 @@ def chat_formatting(spark, sf):
     return chat.report(chat.with_odd_conversation(table(spark, sf, "conversations")))
 
 
+def nbest_segmentation(spark, sf):
+    return nbest.segmented(table(spark, sf, "documents"))
+
+
+def language_id(spark, sf):
+    return language.report(table(spark, sf, "documents"))
+
+
 def personal_data(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
@@ -21,6 +29,8 @@ def personal_data(spark, sf):
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_chat_formatting": chat_formatting,
+    "op3_nbest_segmentation": nbest_segmentation,
+    "op8_language_id": language_id,
     "op9_personal_data": personal_data,
 }
 
