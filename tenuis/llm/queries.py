@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, language, nbest, pii
+from tenuis.llm import chat, decontaminate, html_text, language, nbest, neighbours, pii
 from tenuis.llm.common import table
 
 
@@ -18,6 +18,10 @@ def nbest_segmentation(spark, sf):
     return nbest.segmented(table(spark, sf, "documents"))
 
 
+def page_text(spark, sf):
+    return html_text.report(table(spark, sf, "pages"))
+
+
 def language_id(spark, sf):
     return language.report(table(spark, sf, "documents"))
 
@@ -26,12 +30,18 @@ def personal_data(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
 
+def nearest_neighbours(spark, sf):
+    return neighbours.report(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_chat_formatting": chat_formatting,
     "op3_nbest_segmentation": nbest_segmentation,
+    "op6_page_text": page_text,
     "op8_language_id": language_id,
     "op9_personal_data": personal_data,
+    "op10_nearest_neighbours": nearest_neighbours,
 }
 
 ORACLES = {
