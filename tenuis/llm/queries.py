@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, html_text, language, nbest, neighbours, pii
+from tenuis.llm import chat, decontaminate, html_text, jaccard, language, nbest, neighbours, pii
 from tenuis.llm.common import table
 
 
@@ -18,6 +18,10 @@ def nbest_segmentation(spark, sf):
     return nbest.segmented(table(spark, sf, "documents"))
 
 
+def jaccard_join(spark, sf):
+    return jaccard.report(table(spark, sf, "documents"))
+
+
 def page_text(spark, sf):
     return html_text.report(table(spark, sf, "pages"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_decontamination": decontamination,
     "op2_chat_formatting": chat_formatting,
     "op3_nbest_segmentation": nbest_segmentation,
+    "op4_jaccard_join": jaccard_join,
     "op6_page_text": page_text,
     "op8_language_id": language_id,
     "op9_personal_data": personal_data,
@@ -47,4 +52,5 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op2_chat_formatting": chat.ORACLE_SQL,
+    "op4_jaccard_join": jaccard.ORACLE_SQL,
 }
