@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, html_text, jaccard, language, nbest, neighbours, pii
+from tenuis.llm import chat, decontaminate, html_text, jaccard, language, licenses, nbest, neighbours, pii, pseudo_lm
 from tenuis.llm.common import table
 
 
@@ -22,10 +22,18 @@ def jaccard_join(spark, sf):
     return jaccard.report(table(spark, sf, "documents"))
 
 
+def pseudo_likelihood(spark, sf):
+    return pseudo_lm.report(table(spark, sf, "documents"))
+
+
 def page_text(spark, sf):
     return html_text.report(table(spark, sf, "pages"))
 
 
+def license_scan(spark, sf):
+    return licenses.report(table(spark, sf, "documents"))
+
+
 def language_id(spark, sf):
     return language.report(table(spark, sf, "documents"))
 
@@ -43,7 +51,9 @@ QUERIES = {
     "op2_chat_formatting": chat_formatting,
     "op3_nbest_segmentation": nbest_segmentation,
     "op4_jaccard_join": jaccard_join,
+    "op5_pseudo_likelihood": pseudo_likelihood,
     "op6_page_text": page_text,
+    "op7_license_scan": license_scan,
     "op8_language_id": language_id,
     "op9_personal_data": personal_data,
     "op10_nearest_neighbours": nearest_neighbours,
