@@ -132,8 +132,20 @@ def test_missing_components(spark):
         ("Edge chips has emerged as the leading accelerator", True),
     ],
 )
-def test_adoption_relation(quote, stated):
-    assert ev.adoption_stated(quote, "edge chips") is stated
+def test_adoption_relation(spark, quote, stated):
+    row = spark.createDataFrame([(quote, "edge chips")], "q string, t string")
+    assert row.select(ev.adoption_stated(F.col("q"), F.col("t"))).first()[0] is stated
+
+
+def test_adoption_names_of_a_term(spark):
+    rows = [
+        ("GPU was deployed", "Graphics Units (GPUs)", True), ("one edge chip is used here", "edge chips", True),
+        ("a deployed network of edge chips", "edge chips", False), ("used a b c d e f edge chips", "edge chips", True),
+        ("used a b c d e f g edge chips", "edge chips", False), ("edge chips grew and its market uptake rose", "edge chips", True),
+        ("edge chips play a critical role in modern life", "edge chips", True), ("anything deployed", "()", False),
+    ]
+    got = spark.createDataFrame(rows, "q string, t string, want boolean").select("want", ev.adoption_stated(F.col("q"), F.col("t"))).collect()
+    assert [g[1] for g in got] == [g[0] for g in got]
 
 
 def test_answer_repair_and_failures(spark):
