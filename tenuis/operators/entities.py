@@ -187,33 +187,23 @@ def origin_groups(documents: DataFrame) -> DataFrame:
 
 
 def echo_links(documents: DataFrame, days: int = 3) -> DataFrame:
-    """News of one candidate and title from different origins within a few days.
+    """News of one candidate and title from different origins within a few days, in factored form.
 
-    Every origin day gets its nearest other origin. Two origin days are echoes of each other
-    exactly when they share candidate and title and lie at most ``days`` apart, so the rows stay
-    linear in the data. Two extreme origins per day are enough to find one that differs.
+    Each origin of a day links to the day's hub, its smallest origin, and the hub of each day links to the hubs of the
+    next days within reach. Two origins of a title are echoes when they share a day or their days are linked, so all
+    pairs with their smallest gap, and the groups, follow from these rows, while no pairs inside a day are listed. A
+    link between hubs of one origin only joins its days.
     """
-    days_seen = documents.groupBy("candidate_id", "title_key", "published_at").agg(
-        F.min("origin_id").alias("low"), F.max("origin_id").alias("high")
-    )
     own = documents.select("candidate_id", "title_key", "origin_id", "published_at").distinct()
-    near = own.select(
-        "*", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("shift")
-    ).withColumn("other_day", F.date_add("published_at", F.col("shift")))
-    other = days_seen.withColumnRenamed("published_at", "other_day")
-    found = near.join(other, ["candidate_id", "title_key", "other_day"]).withColumn(
-        "echo_origin_id",
-        F.when(F.col("low") != F.col("origin_id"), F.col("low")).when(
-            F.col("high") != F.col("origin_id"), F.col("high")
-        ),
+    hubs = own.groupBy("candidate_id", "title_key", "published_at").agg(F.min("origin_id").alias("echo_origin_id"))
+    same_day = own.join(hubs, ["candidate_id", "title_key", "published_at"]).where(F.col("origin_id") != F.col("echo_origin_id")).select(
+        "candidate_id", "title_key", "origin_id", "published_at", "echo_origin_id", F.col("published_at").alias("echo_published_at"), F.lit(0).alias("gap_days")
     )
-    nearest = F.struct(F.abs("shift").alias("gap_days"), "echo_origin_id")
-    return (
-        found.where(F.col("echo_origin_id").isNotNull())
-        .groupBy("candidate_id", "title_key", "origin_id", "published_at")
-        .agg(F.min(nearest).alias("e"))
-        .select("candidate_id", "origin_id", "published_at", "e.gap_days", "e.echo_origin_id")
+    ahead = hubs.withColumnRenamed("echo_origin_id", "origin_id").withColumn("gap_days", F.explode(F.sequence(F.lit(1), F.lit(days))))
+    later = ahead.withColumn("echo_published_at", F.date_add("published_at", F.col("gap_days"))).join(
+        hubs.withColumnRenamed("published_at", "echo_published_at"), ["candidate_id", "title_key", "echo_published_at"]
     )
+    return same_day.unionByName(later.select(same_day.columns))
 
 
 def merge_hints(hints: DataFrame) -> DataFrame:

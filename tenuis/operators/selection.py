@@ -196,9 +196,9 @@ def interleave(science: DataFrame, industry: DataFrame, k: int) -> DataFrame:
     return top_k(both, ["candidate_id"], order, k, "final_rank")
 
 
-def evidence_documents(ranked: DataFrame, primary: int = 40, most: int = 3, fill: int = 2) -> DataFrame:
+def evidence_documents(ranked: DataFrame, primary: int = 40, most: int = 3, fill: int = 2, fallback: int = 30) -> DataFrame:
     """Per candidate and source class: documents of distinct origins, up to ``most`` at or above
-    the primary score, else filled with lower scores up to ``fill``; classes alternate."""
+    the primary score, else filled with lower scores of ``fallback`` or more up to ``fill``; classes alternate."""
     order = [
         F.col("score").desc(),
         trust_rank(F.col("trust_tier")).asc(),
@@ -206,7 +206,8 @@ def evidence_documents(ranked: DataFrame, primary: int = 40, most: int = 3, fill
         F.col("document_id").asc(),
     ]
     keys = ["candidate_id", "source_class"]
-    distinct = top_k(ranked, [*keys, "origin_id"], order, 1, "_first").drop("_first")
+    enough = ranked.where(F.col("score") >= fallback)
+    distinct = top_k(enough, [*keys, "origin_id"], order, 1, "_first").drop("_first")
     ranks = top_k(distinct, keys, order, most, "selection_rank")
     high = F.col("score") >= primary
     kept = ranks.where(high | (F.col("selection_rank") <= fill))

@@ -129,7 +129,7 @@ def origin_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def echo_links(spark: SparkSession, sf: str) -> DataFrame:
     """News echoes; publication days are folded to 40 so that copies fall near each other."""
-    rows = linked_documents(spark, sf).where(
+    rows = linked_documents(spark, sf).withColumn("title_key", tx.title_key(F.col("title"))).where(
         (F.col("connector") == "mediacloud") & F.col("published_at").isNotNull() & (F.col("title_key") != "")
     )
     day = F.date_add(F.lit(t.WINDOWS.previous), (F.unix_date("published_at") % 40).cast("int"))
@@ -322,15 +322,17 @@ SELECT DISTINCT least(s.group_id, l.group_id) AS left_group_id, greatest(s.group
 FROM s JOIN l USING (acronym, origin_id) WHERE s.group_id <> l.group_id""",
     "origin_groups": _LINKED + """ SELECT candidate_id, origin_id, count(DISTINCT document_id) AS documents, count(DISTINCT url) AS urls,
 min(document_id) AS first_document_id FROM ld GROUP BY ALL""",
-    "echo_links": _LINKED + """, o AS (SELECT DISTINCT candidate_id, title_key, origin_id,
+    "echo_links": _LINKED + """, o AS (SELECT DISTINCT candidate_id,
+  trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS title_key, origin_id,
   CAST(DATE '2024-09-15' + CAST(date_diff('day', DATE '1970-01-01', published_at) % 40 AS INT) AS DATE) AS published_at
-  FROM ld WHERE connector = 'mediacloud' AND published_at IS NOT NULL AND title_key <> ''),
-x AS (SELECT a.candidate_id, a.title_key, a.origin_id, a.published_at, b.origin_id AS other, abs(date_diff('day', a.published_at, b.published_at)) AS gap, b.published_at AS bp
-  FROM o a JOIN o b USING (candidate_id, title_key) WHERE a.origin_id <> b.origin_id AND abs(date_diff('day', a.published_at, b.published_at)) <= 3),
-dayx AS (SELECT candidate_id, title_key, published_at, min(origin_id) AS low, max(origin_id) AS high FROM o GROUP BY ALL),
-y AS (SELECT DISTINCT candidate_id, origin_id, published_at, gap, CASE WHEN low <> origin_id THEN low ELSE high END AS e
-  FROM x JOIN (SELECT candidate_id, title_key, published_at AS bp, low, high FROM dayx) USING (candidate_id, title_key, bp))
-SELECT candidate_id, origin_id, published_at, min(gap) AS gap_days, arg_min(e, (gap, e)) AS echo_origin_id FROM y GROUP BY ALL""",
+  FROM ld WHERE connector = 'mediacloud' AND published_at IS NOT NULL),
+k AS (SELECT * FROM o WHERE title_key <> ''),
+h AS (SELECT candidate_id, title_key, published_at, min(origin_id) AS hub FROM k GROUP BY ALL)
+SELECT candidate_id, title_key, origin_id, published_at, hub AS echo_origin_id, published_at AS echo_published_at, 0 AS gap_days
+FROM k JOIN h USING (candidate_id, title_key, published_at) WHERE origin_id <> hub
+UNION ALL
+SELECT a.candidate_id, a.title_key, a.hub, a.published_at, b.hub, b.published_at, CAST(date_diff('day', a.published_at, b.published_at) AS INT)
+FROM h a JOIN h b USING (candidate_id, title_key) WHERE date_diff('day', a.published_at, b.published_at) BETWEEN 1 AND 3""",
     "hint_merge": MENTIONS_SQL + "SELECT origin_id, kind, p_name AS term, max(provider_score) AS score, bool_or(primary_topic) AS primary_topic FROM mentions GROUP BY ALL",
     "first_discovery": """SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1""",

@@ -150,7 +150,7 @@ def maturity_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def publicity_input(spark: SparkSession, sf: str) -> DataFrame:
-    rows = pr.kept(spark, sf).where(F.col("score") >= 13)
+    rows = pr.kept(spark, sf).where(F.col("score") >= 30)
     place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.col("score").desc(), F.col("document_id")))
     media = rows.where(F.col("connector") == "mediacloud").withColumn("media_rank", place)
     science = rows.where(F.col("connector") == "openalex").withColumn("science_rank", place).where(F.col("science_rank") <= 6)
@@ -371,6 +371,14 @@ SELECT *, concat_ws(',', CASE WHEN maturity_origins = 0 THEN 'missing_ab_standar
     "readiness_by_domain": _EC + "SELECT domain, proposed_label, 50 AS quota, count(*) AS candidates, count(*) FILTER (reason = '') AS ready, count(*) FILTER (reason = '') >= 50 AS quota_met FROM lr GROUP BY ALL",
     "final_decisions": _FD + "SELECT * FROM fd",
     "second_review_quota": _FD + "SELECT label, count(*) AS total, count(*) FILTER (second_review) AS reviewed, CAST(ceil(count(*) * 0.2) AS BIGINT) AS required, count(*) FILTER (second_review) >= ceil(count(*) * 0.2) AS met FROM fd WHERE label IS NOT NULL GROUP BY 1",
+    "publicity_input": t.BASE_SQL + """,
+pl AS (SELECT candidate_id, document_id, publisher, connector, row_number() OVER (PARTITION BY candidate_id, connector ORDER BY score DESC, document_id) AS place FROM kept WHERE score >= 30),
+hd AS (SELECT * FROM pl WHERE connector = 'mediacloud' AND place <= 4),
+en AS (SELECT candidate_id FROM hd GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT publisher) >= 2),
+bt AS (SELECT candidate_id, document_id, 0 AS class, place FROM hd UNION ALL SELECT candidate_id, document_id, 1, place FROM pl WHERE connector = 'openalex' AND place <= 6)
+SELECT candidate_id, document_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY class, place) AS INT) AS final_rank
+FROM bt JOIN en USING (candidate_id) JOIN cands USING (candidate_id) WHERE item_id % 3 <> 0
+QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY class, place) <= 6""",
     "rubric_violations": """WITH e AS (SELECT 'order-' || l_orderkey AS id, (['publicity_wave','publicity_wave','technical_validation','publicity_wave','pilot','standard_adoption','publicity_wave','publicity_wave'])[CAST(l_quantity AS INT) % 8 + 1] AS kind,
  l_linestatus = 'F' AS s, l_suppkey % 5 < 2 AS ab, l_suppkey % 6 AS o, CAST(l_shipdate AS DATE) AS d FROM lineitem),
 f AS (SELECT id, count(*) FILTER (s AND ab AND kind = 'standard_adoption') AS mature, count(*) FILTER (s AND kind = 'publicity_wave' AND d BETWEEN DATE '1995-01-01' AND DATE '2001-06-30') AS wave,

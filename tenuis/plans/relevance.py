@@ -52,7 +52,7 @@ def dropped_document_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = kept(spark, sf).where(F.col("score") >= 13).withColumn(
+    rows = kept(spark, sf).withColumn(
         "source_class",
         F.when(F.col("connector") == "openalex", "scientific").otherwise("industry"),
     )
@@ -162,7 +162,7 @@ SELECT r.candidate_id, r.document_identity, r.document_id, k.document_id AS kept
 FROM ranked r JOIN kept k USING (candidate_id, document_identity) WHERE r.document_id <> k.document_id""",
     "evidence_documents": f"""{t.BASE_SQL},
 src AS (SELECT *, CASE WHEN connector = 'openalex' THEN 'scientific' ELSE 'industry' END AS source_class,
-        list_position(['A','B','C','D'], trust_tier) AS tr FROM kept WHERE score >= 13),
+        list_position(['A','B','C','D'], trust_tier) AS tr FROM kept WHERE score >= 30),
 one AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY candidate_id, source_class, origin_id
    ORDER BY score DESC, coalesce(tr, 5), published_at DESC NULLS LAST, document_id) = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, source_class

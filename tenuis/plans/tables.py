@@ -80,7 +80,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """One candidate per benchmark item; its search terms are words 3-5 and 7-9 of the text."""
+    """One candidate per benchmark item; its search terms are words 3-6 and 7-10 of the text."""
     tokens = tx.words(tx.identity_key(F.col("text")))
     items = table(spark, sf, "benchmark").select("item_id", tokens.alias("w"))
     regions = table(spark, sf, "region").select(
@@ -94,7 +94,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("cand-"), F.col("item_id")).alias("candidate_id"),
             F.array_join(F.slice("w", 3, 3), " ").alias("canonical_name"),
             F.array(
-                F.array_join(F.slice("w", 3, 3), " "), F.array_join(F.slice("w", 7, 3), " ")
+                F.array_join(F.slice("w", 3, 4), " "), F.array_join(F.slice("w", 7, 4), " ")
             ).alias("search_terms"),
             "domain",
         )
@@ -150,7 +150,7 @@ CANDS_SQL = f"""
 items AS (SELECT item_id, string_split({norm("text")}, ' ') AS w FROM benchmark),
 cands AS (
   SELECT item_id, 'cand-' || item_id AS candidate_id, array_to_string(w[3:5], ' ') AS canonical_name,
-         [array_to_string(w[3:5], ' '), array_to_string(w[7:9], ' ')] AS search_terms, r_name AS domain
+         [array_to_string(w[3:6], ' '), array_to_string(w[7:10], ' ')] AS search_terms, r_name AS domain
   FROM items JOIN region ON r_regionkey = item_id % 5)"""
 
 LINKS_SQL = """

@@ -220,8 +220,16 @@ def test_page_text_branches():
     assert pages.page_text(f"<nav><p>{long}</p></nav><article><p>{long}</p></article>")[2] == "html.article_paragraphs"
     assert pages.page_text(f"<p>{long}a</p><p>{long}b</p>")[2] == "html.paragraphs"
     assert pages.page_text(f"<p>{long}</p><meta name=description content='{long}'>")[1] == "meta_description"
-    assert pages.page_text("<p>short</p>") == (None, "title_only", None, False)
-    assert pages.page_text(f"<article><p>{long * 200}</p></article>")[3] is True
+    assert pages.page_text("<p>short</p>") == (None, "title_only", None)
+    assert pages.page_text(f"<p>{long}lost<p>{long}a</p><p><nav>menu</nav>{long}b</p>")[0].split() == (long + "a " + long + "b").split()
+
+
+def test_page_texts_are_whole(spark):
+    long = "word " * 6000
+    rows = spark.createDataFrame([(1, f"<article><p>{long}</p></article>"), (2, None)], "page_id long, html string")
+    whole, none = pages.page_texts(rows).orderBy("page_id").collect()
+    assert whole["text"] == long.strip() and whole["excerpt"] == long[:11_999] and whole["truncated"] is True
+    assert (none["text"], none["status"], none["truncated"]) == (None, "title_only", False)
 
 
 def test_bundle_is_write_once_and_verified(spark, tmp_path):
@@ -262,3 +270,34 @@ def test_growth_needs_all_counts(spark):
     assert math.isclose(got["a"]["scientific_count_log_growth"], math.log1p(7) - math.log1p(3))
     assert got["a"]["scientific_scope_share_recent"] is None and got["a"]["scientific_scope_share_delta"] is None
     assert not got["b"]["temporal_count_coverage_complete"] and got["b"]["scientific_recent_count_log1p"] is None
+
+
+def test_echo_links_give_all_pairs_and_groups(spark):
+    import datetime as dt
+
+    from tenuis.operators import entities
+
+    rng = random.Random(6)
+    rows = [(f"c{rng.randrange(2)}", f"t{rng.randrange(3)}", f"o{rng.randrange(6)}", dt.date(2025, 1, 1 + rng.randrange(25))) for _ in range(90)]
+    rows += [("c9", "t", name, dt.date(2025, 1, day)) for name, day in (("A", 1), ("B", 2), ("C", 4), ("D", 5))]
+    want = {}
+    for c, t, o, d in rows:
+        for c2, t2, o2, d2 in rows:
+            if (c, t) == (c2, t2) and o < o2 and abs((d - d2).days) <= 3:
+                want[c, t, o, o2] = min(want.get((c, t, o, o2), 9), abs((d - d2).days))
+    links = entities.echo_links(spark.createDataFrame(rows, "candidate_id string, title_key string, origin_id string, published_at date")).collect()
+    days, origins = {}, {}
+    for r in links:
+        group = (r["candidate_id"], r["title_key"])
+        origins.setdefault((*group, r["published_at"]), set()).add(r["origin_id"])
+        origins.setdefault((*group, r["echo_published_at"]), set()).add(r["echo_origin_id"])
+        days[(*group, r["published_at"]), (*group, r["echo_published_at"])] = r["gap_days"]
+        days[(*group, r["published_at"]), (*group, r["published_at"])] = 0
+    got = {}
+    for (a, b), gap in days.items():
+        for o in origins[a]:
+            for o2 in origins[b]:
+                if o != o2:
+                    key = (*a[:2], *sorted((o, o2)))
+                    got[key] = min(got.get(key, 9), gap)
+    assert got == want and ("c9", "t", "B", "C") in got
