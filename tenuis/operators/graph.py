@@ -24,8 +24,16 @@ def shared_key_edges(keys: DataFrame, node: str, key: str) -> DataFrame:
     )
 
 
+#: Rows of a task in the rounds of `components`, whose rows are two short keys each.
+ROWS_PER_TASK = 1_000_000
+
+
+def _pair(u: str, v: str):
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(_pair("u", "v"), _pair("v", "u"))).alias("e")).select("e.*")
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
         both.where(F.col("v") > F.col("u"))
@@ -37,11 +45,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = (
-        edges.join(lowest, "u").where(F.col("v") != F.col("m"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
-    return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.when(F.col("v") != F.col("m"), F.array(_pair("v", "m"), _pair("u", "m"))).otherwise(F.array(_pair("u", "m")))
+    return edges.join(lowest, "u").select(F.explode(moved).alias("e")).select("e.*").distinct()
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -55,13 +60,15 @@ def components(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """Smallest node of the component of every node, in a logarithmic number of rounds.
 
     Every step joins on a node and aggregates with map-side minima; each round is checkpointed
-    in the shared folder, so the plan stays short and lost executors cost one round at most.
+    in the shared folder, so the plan stays short and lost executors cost one round at most. The
+    counted rows of a round set the number of its tasks, so a small graph makes no empty ones.
     """
     current = cut_lineage(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     mark = _fingerprint(current)
     while mark[0]:
+        current = current.coalesce(-(-mark[0] // ROWS_PER_TASK))
         current = cut_lineage(_small_star(_large_star(current)))
         after = _fingerprint(current)
         if after == mark:
