@@ -17,9 +17,9 @@ def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def roster_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers with orders against customers with money."""
-    a = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return checks.roster_difference(a, t.table(spark, sf, "customer").where(F.col("c_acctbal") > 0), "c_custkey")
+    """Customers with orders, renumbered by 100, against all customers."""
+    a = t.table(spark, sf, "orders").select((F.col("o_custkey") + 100).alias("c_custkey"))
+    return checks.roster_difference(a, t.table(spark, sf, "customer"), "c_custkey")
 
 
 def dangling_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ QUERIES = {
 
 ORACLES = {
     "repeated_keys": "SELECT l_orderkey, l_linenumber, count(*) AS rows, 'repeated_key' AS violation FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
-    "roster_difference": """WITH a AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders), b AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    "roster_difference": """WITH a AS (SELECT DISTINCT o_custkey + 100 AS c_custkey FROM orders), b AS (SELECT c_custkey FROM customer)
 SELECT c_custkey, 'left_only' AS side FROM a WHERE c_custkey NOT IN (SELECT c_custkey FROM b) UNION ALL SELECT c_custkey, 'right_only' FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)""",
     "dangling_references": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "differing_attributes": "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'c_nationkey' ELSE 'c_mktsegment' END AS attribute FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 6 = 0",

@@ -25,8 +25,8 @@ def region_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as alias groups; their sources are the orders of 47 pieces and more."""
-    items = t.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 47).join(
+    """Parts as alias groups; their sources are the orders that hold them."""
+    items = t.table(spark, sf, "lineitem").join(
         t.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     sources = items.groupBy("l_partkey").agg(
@@ -43,8 +43,9 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slots(spark: SparkSession, sf: str) -> DataFrame:
-    nations = t.table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("_r"))
-    rows = t.table(spark, sf, "customer").where(F.col("c_acctbal") > 9500).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    """One slot per customer; two regions share a domain, so some domains have slots to spare and others none."""
+    nations = t.table(spark, sf, "nation").select("n_nationkey", F.floor(F.col("n_regionkey") / 2).cast("int").alias("_r"))
+    rows = t.table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.join(region_of(spark, sf), "_r").select(F.concat(F.lit("slot-"), "c_custkey").alias("slot_id"), "domain")
 
 
@@ -173,7 +174,7 @@ def rubric_audit(spark: SparkSession, sf: str) -> DataFrame:
 def contract_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     parts = t.table(spark, sf, "part")
     cands = parts.select(F.concat(F.lit("part-"), "p_partkey").alias("candidate_id"), F.col("p_name").alias("canonical_name"), F.array("p_name", "p_brand").alias("names"), "p_size")
-    items = t.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 40).join(parts.select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    items = t.table(spark, sf, "lineitem").join(parts.select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     rows = items.select(
         F.concat(F.lit("part-"), "l_partkey").alias("candidate_id"), F.when(F.col("l_suppkey") % 29 == 0, "other").otherwise(F.col("p_name")).alias("canonical_name"),
         F.when(F.col("l_linenumber") < 6, F.concat(F.lit("about "), F.upper("p_name"))).alias("quote"), F.when(F.col("l_linenumber") > 3, F.concat("p_brand", F.lit(" news"))).alias("headline"),
@@ -288,7 +289,7 @@ QUERIES = {
 }
 
 _G = """WITH src AS (SELECT l_partkey, count(DISTINCT o_custkey) AS origins, count(DISTINCT l_orderkey) AS documents, bool_or(l_returnflag = 'A') AS hs, bool_or(l_returnflag = 'N') AS hm
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 47 GROUP BY 1),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
 g AS (SELECT 'part-' || p_partkey AS group_id, 'run-' || (p_size % 4) AS run_id, r_name AS domain, lower(p_name || ' ' || p_brand) AS key,
   CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN upper(p_name) ELSE p_name END || ' ' || p_type AS canonical_name, lower(p_name || ' ' || p_type) AS qk,
   coalesce(origins, 0) AS origins, coalesce(documents, 0) AS documents, coalesce(hs, false) AS hs, coalesce(hm, false) AS hm
@@ -298,7 +299,7 @@ qd AS (SELECT *, first_value(group_id) OVER (PARTITION BY domain, qk ORDER BY or
 kp AS (SELECT *, CASE WHEN hs AND hm THEN 0 WHEN hm THEN 1 WHEN origins >= 2 THEN 2 ELSE 3 END AS stratum FROM qd WHERE group_id = primary_group_id),
 tn AS (SELECT *, row_number() OVER (PARTITION BY domain, stratum ORDER BY origins DESC, documents DESC, lower(canonical_name), group_id) AS turn FROM kp),
 pl AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY turn, stratum) AS position FROM tn),
-sl AS (SELECT 'slot-' || c_custkey AS slot_id, r_name AS domain FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9500),
+sl AS (SELECT 'slot-' || c_custkey AS slot_id, r_name AS domain FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey // 2 = r_regionkey),
 sn AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY slot_id) AS position FROM sl)
 """
 _N = """WITH it AS (SELECT event_type AS noise_type, event_id AS pos, CASE WHEN user_id % 17 = 0 THEN '' ELSE trim(props || ' ' || CAST(floor(value) AS BIGINT)) END AS text,
@@ -321,7 +322,7 @@ fd AS (SELECT subject_id, issue, CASE WHEN issue IS NULL THEN CASE WHEN n2 = 1 A
 """
 _EC = f"""WITH e AS (SELECT 'part-' || l_partkey AS candidate_id, l_suppkey % 29 = 0 AND p_name <> 'other' AS foreign_c,
  CASE WHEN l_linenumber < 6 THEN 'about ' || p_name ELSE '' END AS q, CASE WHEN l_linenumber > 3 THEN lower(replace(p_brand, '#', ' ')) || ' news' ELSE '' END AS h, p_name, lower(replace(p_brand, '#', ' ')) AS pb,
- l_discount >= 0.03 AS subst, l_orderkey % 3 AS o, l_suppkey % 4 AS p, CAST(l_shipdate AS DATE) AS d, l_suppkey % 31 = 0 AS bu FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40),
+ l_discount >= 0.03 AS subst, l_orderkey % 3 AS o, l_suppkey % 4 AS p, CAST(l_shipdate AS DATE) AS d, l_suppkey % 31 = 0 AS bu FROM lineitem JOIN part ON l_partkey = p_partkey),
 f AS (SELECT candidate_id, count(*) AS rows_total, count(*) FILTER (subst) AS substantive_rows, count(DISTINCT o) AS origins, count(DISTINCT p) AS publishers, bool_or(foreign_c) AS fc,
  bool_or(NOT d BETWEEN DATE '1996-01-01' AND DATE '2001-11-04') AS bd, bool_or(bu) AS bu, bool_or(NOT (contains(q, p_name) OR contains(h, p_name) OR contains(q, pb) OR contains(h, pb))) AS na FROM e GROUP BY 1),
 c AS (SELECT 'part-' || p_partkey AS candidate_id, p_size, coalesce(rows_total, 0) AS rows_total, coalesce(substantive_rows, 0) AS substantive_rows, coalesce(origins, 0) AS origins, coalesce(publishers, 0) AS publishers,
