@@ -6,16 +6,17 @@ different components is looked for, links inside a component that is already kno
 
 1. *Prefix filter.* Shingles are ordered by their hash. Linked sets share at least `_reach(n)` of their first
    n - ceil(0.75 n) + _reach(n) shingles, so a node with fewer shared ones has no partner. What is left are candidates.
-2. *Cells.* Linked candidates share a shingle of their first n - ceil(0.75 n) + 1. The candidates of one such shingle
-   are a cell; a cell is cut into blocks of at most BLOCK rows, and blocks meet in pairs.
+2. *Cells.* Linked candidates share a shingle of their first n - ceil(0.75 n) + 1, in any order that is the same for
+   all; here the shingles that most candidates share come last, so that a shared passage makes no cell. The candidates
+   of one such shingle are a cell; a cell is cut into blocks of at most BLOCK rows, and blocks meet in pairs.
 3. *Signature trees.* The rows of a cell are the leaves of a tree. A tree node holds the OR of its token bitmaps, its
    range of set sizes and its component, if it has only one. A dual traversal starts with the pair of the root with
    itself and drops a pair of nodes when the greatest possible overlap is below the least one needed, when the size
    ranges are too far apart, or when both are of one component. All cells of a batch go down level by level together.
-4. *Rounds.* In the first round each candidate proposes the most promising partner of few cells; verified links give
-   components. In the second round the cells that still hold several components are traversed, and all pairs that
-   cannot be ruled out are verified on the full sets. In a cell whose rows are mostly of one component, only the
-   others meet all blocks.
+4. *Rounds.* In the first round each candidate proposes its PARTNERS most promising partners of few cells; verified
+   links give components. In the second round the cells that still hold several components are traversed, and all
+   pairs that cannot be ruled out are verified on the full sets. In a cell whose rows are mostly of one component, only
+   the others meet all blocks.
 
 Sizes: rows of a cell or of a hot shingle spread over blocks; pairs are only proposed between components, so a group of
 copies costs rows in proportion to its size. Components contract by stars, with a durable checkpoint each round.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tenuis.llm.common import lists, with_text_columns
+from tenuis.llm.common import lists, share, with_text_columns
 from tenuis.operators.graph import components
 from tenuis.session import cut_lineage
 
@@ -46,6 +47,12 @@ BITS = 2048
 BLOCK = 256
 FANOUT = 8
 FIRST_CELLS = 4
+PARTNERS = 4
+#: Up to so many ids of candidates are broadcast to the texts.
+BROADCAST_IDS = 4_000_000
+#: Bound of the list of frequent shingles, and from how many sets on one is frequent.
+HOT_MOST = 200_000
+HOT_LEAST = 16
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -79,9 +86,11 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def node_table(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, node (null for an empty set) and the prefix of step 1, per row."""
-    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+def node_table(documents: DataFrame, key: str, text: str, prefix: bool) -> DataFrame:
+    """key, n, node (null for an empty set) and, if asked for, the prefix of step 1, per row."""
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType())]
+    if prefix:
+        fields.append(T.StructField("prefix", T.ArrayType(T.LongType())))
 
     def work():
         def compute(texts):
@@ -91,7 +100,10 @@ def node_table(documents: DataFrame, key: str, text: str) -> DataFrame:
                 n = len(hashes)
                 numbers.append(n)
                 nodes.append(node_of(hashes) if n else None)
-                prefixes.append(hashes[: n - _least(n) + _reach(n)])
+                if prefix:
+                    prefixes.append(hashes[: n - _least(n) + _reach(n)])
+            if not prefix:
+                return [numbers, nodes]
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             return [numbers, nodes, lists(flat, [len(p) for p in prefixes], pa.int64())]
 
@@ -101,7 +113,7 @@ def node_table(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def set_table(documents: DataFrame, text: str) -> DataFrame:
-    """node, n, hashes (sorted) and sig (the token bitmap) of the distinct sets of the texts."""
+    """node, n, hashes (sorted) and sig (the token bitmap) of the texts."""
     fields = [
         T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()),
@@ -193,8 +205,9 @@ class Forest:
         return a[keep], b[keep]
 
 
-def _proposals(cells: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of nodes from cells with columns cell (any type), node, n, sig, label."""
+def _proposals(cells: DataFrame, partners: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes from cells with columns cell (any type), node, n, sig, label: the most promising
+    `partners` of each node, or all."""
     columns = ["cell", "node", "n", "sig", "label"]
     sorted_cells = (
         cells.select(F.xxhash64("cell").alias("cell"), "node", "n", "sig", "label").repartition("cell").sortWithinPartitions("cell", "n", "node")
@@ -212,17 +225,16 @@ def _proposals(cells: DataFrame, best_only: bool) -> DataFrame:
             at = to
             a, b, most = Forest(cell[part], n[part], sig[part], label[part]).pairs()
             names = node[part]
-            if best_only and len(a):
-                likeness = most / (n[part][a] + n[part][b] - most)
-                who, other = np.concatenate([a, b]), np.concatenate([b, a])
-                order = np.lexsort((names[other], -np.concatenate([likeness, likeness]), who))
-                first = np.concatenate([[True], np.diff(who[order]) != 0])
-                a, b = who[order][first], other[order][first]
-                likeness = np.concatenate([likeness, likeness])[order][first]
-            elif not len(a):
+            if not len(a):
                 continue
-            else:
-                likeness = np.zeros(len(a))
+            likeness = most / (n[part][a] + n[part][b] - most)
+            if partners:
+                a, b, likeness = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([likeness, likeness])
+                order = np.lexsort((names[b], -likeness, a))
+                a, b, likeness = a[order], b[order], likeness[order]
+                starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                few = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < partners
+                a, b, likeness = a[few], b[few], likeness[few]
             out.append((names[a], names[b], likeness))
         return out
 
@@ -250,9 +262,11 @@ def _proposals(cells: DataFrame, best_only: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(likeness)], names=["a", "b", "likeness"])
 
     pairs = sorted_cells.select(*columns).mapInArrow(run, "a long, b long, likeness double")
-    if best_only:
+    if partners:
+        # The same pair may come from several cells.
+        pairs = pairs.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
         order = W.partitionBy("a").orderBy(F.desc("likeness"), "b")
-        pairs = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") == 1)
+        pairs = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= partners)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -281,32 +295,69 @@ def _ceil_share(n: Column) -> Column:
     return F.ceil(n * F.lit(THRESHOLD) / 100)
 
 
-def links_between_components(documents: DataFrame, nodes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Candidate nodes with their component root, after both rounds: (node, root), and the candidates' sets."""
-    distinct = nodes.where(F.col("node").isNotNull() & F.col(key).isNotNull()).dropDuplicates(["node"])
+def frequent_shingles(sets: DataFrame) -> list[int]:
+    """At most HOT_MOST shingles that candidates share most, the rarest first. They only order prefixes."""
+    early = F.slice("hashes", 1, F.ceil(F.col("n") * 0.4).cast("int"))
+    counted = sets.select(F.explode(early).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HOT_LEAST)
+    return [r["token"] for r in reversed(counted.orderBy(F.desc("c"), "token").limit(HOT_MOST).collect())]
+
+
+def prefix_rows(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """node, n, at and token of the prefix of each set: shingles by hash, then frequent ones from the rarest on."""
+    hot = np.array(frequent, dtype=np.int64)
+    by_hash = np.argsort(hot, kind="stable")
+    shared = share(sets.sparkSession, (hot[by_hash], by_hash))
+
+    def run(batches):
+        tokens, ranks = shared.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for node, n, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = hashes.values.to_numpy()
+                if len(tokens):
+                    near = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    rank = np.where(tokens[near] == own, ranks[near], -1)
+                    own = own[np.argsort(rank, kind="stable")]
+                size = n - _least(n) + 1
+                out[0].append(np.full(size, node))
+                out[1].append(np.full(size, n))
+                out[2].append(np.arange(size))
+                out[3].append(own[:size])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["node", "n", "at", "token"])
+
+    return sets.select("node", "n", "hashes").mapInArrow(run, "node long, n long, at long, token long")
+
+
+def roots_of_candidates(documents: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """node and root of the nodes that may have a partner, after both rounds. `nodes` has key, n and node of all rows.
+
+    Texts are shingled again where that is cheaper than to keep what was made of them.
+    """
+    named = documents.where(F.col(key).isNotNull())
+    distinct = node_table(named, key, text, True).where(F.col("node").isNotNull()).dropDuplicates(["node"])
     tokens = distinct.select("node", F.explode("prefix").alias("token"))
     held = _shared(tokens, "node").groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    one = nodes.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"))
     # A partner may be smaller, and then asks for less.
     asked = F.floor(_ceil_share(F.col("n")) / 10) + 1
-    candidates = distinct.select(key, "n", "node").join(held, "node").where(F.col("held") >= asked).select(key, "node")
-    wanted = candidates.select(key).distinct()
-    sets = cut_lineage(
-        set_table(documents.join(wanted, key, "left_semi"), text)
-        .join(candidates.select("node"), "node", "left_semi")
-        .dropDuplicates(["node"])
-    )
-
-    prefix = F.slice("hashes", 1, (F.col("n") - _ceil_share(F.col("n")) + 1).cast("int"))
-    rows = _shared(sets.select("node", "n", "sig", F.posexplode(prefix).alias("at", "token")), "node")
-    rows = cut_lineage(rows)
+    wanted = cut_lineage(held.join(one, "node").where(F.col("held") >= asked).select(key).distinct())
+    # Ids of a counted, small number go to the texts; more of them meet the texts in a shuffle.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    # A repeated row gives a repeated set here, which only repeats links.
+    sets = cut_lineage(set_table(named.join(wanted, key, "left_semi"), text))
+
+    rows = cut_lineage(_shared(prefix_rows(sets, frequent_shingles(sets)), "node"))
+    bitmaps = sets.select("node", "sig").dropDuplicates(["node"])
     first = W.partitionBy("node").orderBy("at")
     few = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIRST_CELLS)
     place = F.row_number().over(W.partitionBy("token").orderBy("n", "node"))
-    cells = few.withColumn("block", F.floor((place - 1) / BLOCK)).select(
-        F.struct("token", "block").alias("cell"), "node", "n", "sig", F.col("node").alias("label")
-    )
-    found = cut_lineage(_verified(_proposals(cells, best_only=True), sets))
-    labels = cut_lineage(components(sets, "node", found))
+    near = few.withColumn("block", F.floor((place - 1) / BLOCK)).select(
+        F.struct("token", "block").alias("cell"), "node", "n", F.col("node").alias("label")
+    ).join(bitmaps, "node")
+    held = cut_lineage(sets.select("node").distinct())
+    found = cut_lineage(_verified(_proposals(near, PARTNERS), sets))
+    labels = cut_lineage(components(held, "node", found))
 
     mixed = _shared(rows.join(labels.withColumnRenamed("root", "label"), "node"), "label")
     counts = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -317,16 +368,16 @@ def links_between_components(documents: DataFrame, nodes: DataFrame, key: str, t
     last = F.floor((F.col("all") - 1) / BLOCK)
     meets = F.when(F.col("block") < others, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.sequence(F.lit(0).cast("long"), others - 1))
     paired = numbered.withColumn("with", F.explode(meets)).select(
-        F.struct("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).alias("cell"), "node", "n", "sig", "label"
+        F.struct("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).alias("cell"), "node", "n", "label"
     )
-    more = _verified(_proposals(paired, best_only=False), sets)
-    return components(sets, "node", cut_lineage(found.unionByName(more))), sets
+    more = _verified(_proposals(paired.join(bitmaps, "node"), None), sets)
+    return components(held, "node", cut_lineage(found.unionByName(more)))
 
 
 def joined(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: `key`, n_shingles, component_id (the smallest `key` reachable by links)."""
-    nodes = cut_lineage(node_table(documents, key, text))
-    roots, _ = links_between_components(documents, nodes, key, text)
+    nodes = cut_lineage(node_table(documents, key, text, False))
+    roots = roots_of_candidates(documents, nodes, key, text)
     smallest = nodes.where(F.col("node").isNotNull() & F.col(key).isNotNull()).groupBy("node").agg(F.min(key).alias("least"))
     rooted = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
