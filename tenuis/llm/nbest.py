@@ -25,7 +25,7 @@ from tenuis.llm.common import lists, share, with_text_columns
 from tenuis.llm.pieces import VOCABULARY, Vocabulary, chunks, covered, matcher
 
 BEST = 4
-#: Distinct chunks a worker remembers; when full, the memory starts anew.
+#: Distinct chunks in each of the two generations that a worker remembers; chunks in use move to the younger one.
 CACHE = 300_000
 _LOW = float("-inf")
 
@@ -35,6 +35,7 @@ class Segmenter:
         self.vocabulary, self.best = vocabulary, best
         self.pieces_in, self.covered = matcher(vocabulary).iter, covered(vocabulary)
         self.cache: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def viterbi(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
@@ -141,25 +142,24 @@ class Segmenter:
                 heapq.heappush(agenda, (-(done + score + ahead[start]), start, next(order), done + score, ((start, number), path)))
         return found
 
+    def _recall(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
+        hit = self.cache.get(chunk) or self.older.get(chunk) or self.viterbi(chunk)
+        if len(self.cache) >= CACHE:
+            self.older, self.cache = self.cache, {}
+            self.searched.clear()
+        self.cache[chunk] = hit
+        return hit
+
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation, and for each further one its score and edits (at, count, ids)."""
-        cache = self.cache
         parts = chunks(" " + text)
-        found = []
-        for part in parts:
-            hit = cache.get(part)
-            if hit is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                    self.searched.clear()
-                hit = cache[part] = self.viterbi(part)
-            found.append(hit)
-        ids: list[int] = []
-        for hit in found:
-            ids += hit[0]
-        total = sum(hit[1] for hit in found)
+        found = list(map(self.cache.get, parts))
+        if None in found:
+            found = [hit or self._recall(part) for hit, part in zip(found, parts, strict=True)]
+        ids = list(itertools.chain.from_iterable([hit[0] for hit in found]))
+        total = sum([hit[1] for hit in found])
         costs = [hit[2] for hit in found]
-        chosen = sorted(heapq.nsmallest(self.best - 1, range(len(parts)), key=lambda i: (costs[i], i)))
+        chosen = sorted(place for _, place in heapq.nsmallest(self.best - 1, zip(costs, range(len(parts)), strict=True)))
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for place in chosen:
             if costs[place] == float("inf"):
@@ -179,7 +179,7 @@ class Segmenter:
             sums = more[: self.best]
         others = []
         if len(sums) > 1:
-            starts = [0, *itertools.accumulate(len(hit[0]) for hit in found)]
+            starts = [0, *itertools.accumulate([len(hit[0]) for hit in found])]
             for loss, picks in sums[1:]:
                 edits = [(starts[-p], len(found[-p][0]), self.searched[parts[-p]][n][1]) for p, n in picks]
                 others.append((total - loss, edits))
@@ -198,6 +198,9 @@ def edited(ids: list[int], edits) -> list[int]:
     return out + list(ids[at:])
 
 
+#: Segmenters of this worker, by the vocabulary's path and N: later tasks find its memory filled.
+_OWN: dict[tuple[str, int], Segmenter] = {}
+
 _EDIT = T.StructType(
     [T.StructField("at", T.LongType()), T.StructField("count", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
@@ -220,7 +223,7 @@ def segmented(documents: DataFrame, key: str = "doc_id", text: str = "text", bes
     shared = share(documents.sparkSession, Vocabulary.read(path))
 
     def work():
-        segmenter = Segmenter(shared.value, best)
+        segmenter = _OWN.get((path, best)) or _OWN.setdefault((path, best), Segmenter(shared.value, best))
         decode = segmenter.vocabulary.decode
 
         def compute(texts):

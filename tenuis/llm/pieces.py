@@ -24,7 +24,8 @@ chunks = re.compile(r"\n| *[^ \n]+| +").findall
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """`known` maps a piece to (id, score), and a string that only begins pieces to (-1, 0.0)."""
+    """`known` maps a piece to (id, score), and a string that only begins pieces to (-1, 0.0). `surface` has the text of
+    each id; for parts of a character, bytes."""
 
     known: dict[str, tuple[int, float]]
     surface: list[str | bytes]
@@ -45,7 +46,7 @@ class Vocabulary:
             if model.is_byte(number):
                 value = int(name[3:-1], 16)
                 byte_ids[value] = number
-                surface.append(bytes([value]))
+                surface.append(chr(value) if value < 0x80 else bytes([value]))
                 continue
             plain = name.replace("▁", " ")
             surface.append(plain)
@@ -67,6 +68,10 @@ class Vocabulary:
     def decode(self, ids) -> str:
         """The text of ids from `chunks` of a text with its leading space."""
         surface, out, raw = self.surface, [], b""
+        try:
+            return "".join(map(surface.__getitem__, ids))
+        except TypeError:
+            pass  # parts of characters are joined below
         for number in ids:
             part = surface[number]
             if isinstance(part, bytes):
