@@ -1,7 +1,7 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network predicts the class of a word from the two words before it and the two behind it: position-dependent
-embeddings are summed, pass a tanh and give a softmax over word classes. A document's score is the sum of the
+embeddings are summed, pass a tanh and give a softmax over word classes, in two levels. A document's score is the sum of the
 log-probabilities of all its words, each given its neighbours on both sides.
 
 Word classes: the most frequent words of the whole corpus have a class each, all other words share classes by a hash
@@ -41,7 +41,11 @@ ROUNDS = 3
 MASK_EVERY = 16
 BATCH = 512
 RATE = 0.15
+#: Words scored at a time.
+BLOCK = 16_384
 CHUNK = 4096
+#: Classes in a group of the two-level softmax.
+SLOTS = 32
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -64,19 +68,27 @@ class Classes:
 
 
 class Network:
-    """Weights in one flat float32 vector: embeddings by offset (with a class for the edge), bias, output, output bias."""
+    """Weights in one flat float32 vector: embeddings by offset (with a class for the edge), bias, and the softmax in two
+    levels, the group of a class and its slot in the group, which takes far fewer exponentials than one over all."""
 
-    def __init__(self, classes: int, flat: np.ndarray | None = None, prior: np.ndarray | None = None):
-        self.classes = classes
-        shapes = [(len(OFFSETS), classes + 1, WIDTH), (WIDTH,), (WIDTH, classes), (classes,)]
+    def __init__(self, classes: int, flat: np.ndarray | None = None, shares: np.ndarray | None = None):
+        self.classes, self.groups = classes, -(-classes // SLOTS)
+        shapes = [(len(OFFSETS), classes + 1, WIDTH), (WIDTH,), (WIDTH, self.groups), (self.groups,), (self.groups, WIDTH, SLOTS), (self.groups, SLOTS)]
         sizes = [int(np.prod(s)) for s in shapes]
-        if flat is None:
-            rng = np.random.default_rng(17)
-            flat = (rng.standard_normal(sum(sizes)) * 0.1).astype(np.float32)
-            flat[-classes:] = 0 if prior is None else prior
+        start = flat is None
+        if start:
+            flat = (np.random.default_rng(17).standard_normal(sum(sizes)) * 0.1).astype(np.float32)
         self.flat = flat
         cuts = np.cumsum([0, *sizes])
-        self.embed, self.bias, self.out, self.out_bias = (flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False))
+        parts = (flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False))
+        self.embed, self.bias, self.group_out, self.group_bias, self.out, self.out_bias = parts
+        if start:
+            # The first network knows how frequent classes are; slots without a class are as good as impossible.
+            full = np.full(self.groups * SLOTS, 1e-9)
+            full[:classes] = 1.0 / classes if shares is None else shares
+            full = full.reshape(self.groups, SLOTS)
+            self.group_bias[:] = np.log(full.sum(axis=1))
+            self.out_bias[:] = np.log(full / full.sum(axis=1, keepdims=True))
 
     def contexts(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Classes around the places, with the edge class beyond the ends."""
@@ -89,38 +101,61 @@ class Network:
             total += self.embed[k][context[:, k]]
         return np.tanh(total, out=total)
 
+    def _by_group(self, target: np.ndarray):
+        """(group, rows) of the groups that the targets are in."""
+        group = target // SLOTS
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])[: len(order)])
+        return [(int(group[order[a]]), order[a:b]) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), dtype=np.float64)
-        for at in range(0, len(target), 4096):
-            part = slice(at, at + 4096)
-            logits = self.hidden(context[part]) @ self.out + self.out_bias
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            picked = logits[np.arange(len(logits)), target[part]]
-            out[part] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+        for at in range(0, len(target), 8192):
+            part = slice(at, at + 8192)
+            wanted, h = target[part], self.hidden(context[part])
+            picked = _log_softmax_at(h @ self.group_out + self.group_bias, wanted // SLOTS)
+            for group, rows in self._by_group(wanted):
+                picked[rows] += _log_softmax_at(h[rows] @ self.out[group] + self.out_bias[group], wanted[rows] % SLOTS)
+            out[part] = picked
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss and its gradient as a flat vector."""
-        rows = np.arange(len(target))
         h = self.hidden(context)
-        logits = h @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = float(-np.log(np.maximum(p[rows, target], 1e-30)).mean())
-        p[rows, target] -= 1.0
-        p /= np.float32(len(target))
-        back = (p @ self.out.T) * (1.0 - h * h)
         grown = Network(self.classes, np.zeros_like(self.flat))
+        loss, p = _softmax_error(h @ self.group_out + self.group_bias, target // SLOTS, len(target))
+        back = p @ self.group_out.T
+        grown.group_out[:], grown.group_bias[:] = h.T @ p, p.sum(axis=0)
+        for group, rows in self._by_group(target):
+            own, q = _softmax_error(h[rows] @ self.out[group] + self.out_bias[group], target[rows] % SLOTS, len(target))
+            loss += own
+            back[rows] += q @ self.out[group].T
+            grown.out[group], grown.out_bias[group] = h[rows].T @ q, q.sum(axis=0)
+        back *= 1.0 - h * h
         for k in range(len(OFFSETS)):
             np.add.at(grown.embed[k], context[:, k], back)
         grown.bias[:] = back.sum(axis=0)
-        grown.out[:] = h.T @ p
-        grown.out_bias[:] = p.sum(axis=0)
         return loss, grown.flat
 
 
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(at)), at]
+    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def _softmax_error(logits: np.ndarray, at: np.ndarray, total: int) -> tuple[float, np.ndarray]:
+    """Sum of the losses and its gradient by logits, both over `total`."""
+    rows = np.arange(len(at))
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits, out=logits)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-np.log(np.maximum(p[rows, at], 1e-30)).sum()) / total
+    p[rows, at] -= 1.0
+    p /= np.float32(total)
+    return loss, p
+
+
 def masked_places(size: int, seed: int, turn: int) -> np.ndarray:
     """About one place in MASK_EVERY, by a hash of the document's seed, the place and the round."""
     start = (seed + turn * 0x9E3779B9) % 2**32
@@ -236,6 +271,13 @@ def trained(rows: DataFrame, network: Network, rounds: int = ROUNDS) -> tuple[Ne
     return network, history
 
 
+def _add_scores(network: Network, contexts: list, targets: list, owners: list, sums: np.ndarray) -> None:
+    if targets:
+        found = network.log_probability(np.concatenate(contexts), np.concatenate(targets))
+        sums += np.bincount(np.concatenate(owners), found, len(sums))
+        contexts.clear(), targets.clear(), owners.clear()
+
+
 def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
     """key, n_words, score (sum of log-probabilities), mean_score."""
     shared = share(rows.sparkSession, (network.classes, network.flat))
@@ -247,11 +289,19 @@ def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
             documents = [np.frombuffer(raw, dtype=np.uint16) for raw in batch.column(1).to_pylist()]
             sizes = np.array([len(d) for d in documents], dtype=np.int64)
             sums = np.zeros(len(documents))
-            # Some documents at a time; a long one is cut by places, which changes nothing.
+            # Words are scored in blocks, which hold several documents or a part of a long one.
+            contexts, targets, owners, held = [], [], [], 0
             for number, ids in enumerate(documents):
-                for at in range(0, len(ids), 65_536):
-                    places = np.arange(at, min(at + 65_536, len(ids)))
-                    sums[number] += own.log_probability(own.contexts(ids, places), ids[places].astype(np.int64)).sum()
+                for at in range(0, len(ids), BLOCK):
+                    places = np.arange(at, min(at + BLOCK, len(ids)))
+                    contexts.append(own.contexts(ids, places))
+                    targets.append(ids[places].astype(np.int64))
+                    owners.append(np.full(len(places), number))
+                    held += len(places)
+                    if held >= BLOCK:
+                        _add_scores(own, contexts, targets, owners, sums)
+                        held = 0
+            _add_scores(own, contexts, targets, owners, sums)
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())], names=[key, "n_words", "score", "mean_score"]
@@ -268,7 +318,7 @@ def pseudo_likelihood(documents: DataFrame, key: str = "doc_id", text: str = "te
     shares[: len(frequent)] += [n for _, n in frequent]
     shares[len(frequent) :] += max(0, total - sum(n for _, n in frequent)) / SUFFIX_CLASSES
     rows = cut_lineage(sequences(documents, classes, key, text))
-    network, _ = trained(rows, Network(classes.count, prior=np.log(shares / shares.sum()).astype(np.float32)), rounds)
+    network, _ = trained(rows, Network(classes.count, shares=shares / shares.sum()), rounds)
     return scored(rows, network, key)
 
 
