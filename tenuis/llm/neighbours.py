@@ -159,17 +159,33 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 
-def _top(query_id, query, ids, rows, near: np.ndarray, nearest: int) -> list[tuple[float, int]]:
-    """The nearest rows; `near` holds quick scores, whose last digits may differ, so all near the edge are scored again."""
-    own = ids == query_id
-    near = np.where(own, -np.inf, near)
-    left = len(ids) - int(own.sum())
-    if left <= 0:
-        return []
-    edge = np.partition(near, len(near) - min(nearest, left))[len(near) - min(nearest, left)] - 1e-9
-    some = np.flatnonzero(near >= edge)
-    scores = exact_scores(query, rows[some])
-    return sorted(zip((-scores).tolist(), ids[some].tolist(), strict=True))[:nearest]
+def _nearest_pairs(q_ids, queries, r_ids, rows, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, exact score) of the nearest rows of each query of a block.
+
+    The quick scores of one matrix product may differ in their last digits, so all near the edge are scored again."""
+    unit_q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    unit_r = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    quick = unit_q @ unit_r.T
+    quick[q_ids[:, None] == r_ids[None, :]] = -np.inf
+    k = min(nearest, len(r_ids))
+    edge = np.partition(quick, len(r_ids) - k, axis=1)[:, len(r_ids) - k]
+    at, row = np.nonzero((quick >= edge[:, None] - 1e-9) & (quick > -np.inf))
+    one, two = queries[at], rows[row]
+    scores = (one * two).sum(axis=1) / (np.sqrt((one * one).sum(axis=1)) * np.sqrt((two * two).sum(axis=1)))
+    return q_ids[at], r_ids[row], scores
+
+
+def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, nearest: int) -> list[np.ndarray]:
+    """The nearest rows of each query, each row once with its best score."""
+    order = np.lexsort((-score, row, query))
+    query, row, score = query[order], row[order], score[order]
+    first = np.concatenate([[True], (query[1:] != query[:-1]) | (row[1:] != row[:-1])])[: len(query)]
+    query, row, score = query[first], row[first], score[first]
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])[: len(query)])
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return [query[place < nearest], row[place < nearest], score[place < nearest]]
 
 
 def nearest_rows(
@@ -221,28 +237,19 @@ def nearest_rows(
 
     def rank(batches):
         for batch in batches:
-            best: dict[int, dict[int, float]] = {}
+            found = []
             for q_ids, q_vectors, r_ids, r_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(r_ids, dtype=np.int64)
-                vectors = np.frombuffer(r_vectors, dtype=np.float64).reshape(-1, width)
-                asked_ids = np.frombuffer(q_ids, dtype=np.int64)
-                asked_vectors = np.frombuffer(q_vectors, dtype=np.float64).reshape(-1, width)
-                quick = (asked_vectors / np.linalg.norm(asked_vectors, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-                for at, query_id in enumerate(asked_ids.tolist()):
-                    mine = best.setdefault(query_id, {})
-                    for lost, row_id in _top(query_id, asked_vectors[at], ids, vectors, quick[at], nearest):
-                        mine[row_id] = max(mine.get(row_id, -np.inf), -lost)
-                    if len(mine) > 8 * nearest:
-                        best[query_id] = dict(sorted(mine.items(), key=lambda m: (-m[1], m[0]))[:nearest])
-            out = [
-                (query_id, row_id, score)
-                for query_id, mine in best.items()
-                for row_id, score in sorted(mine.items(), key=lambda m: (-m[1], m[0]))[:nearest]
-            ]
-            columns = list(zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"]
-            )
+                found.append(
+                    _nearest_pairs(
+                        np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(q_vectors, dtype=np.float64).reshape(-1, width),
+                        np.frombuffer(r_ids, dtype=np.int64), np.frombuffer(r_vectors, dtype=np.float64).reshape(-1, width), nearest,
+                    )
+                )
+                if len(found) >= 500:
+                    found = [_best(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)]
+            if found:
+                best = _best(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
 
     block = "cell long, ids binary, vectors binary"
     cells = kept.repartition(-(-total // ROW_BLOCK)).mapInArrow(index, block)
