@@ -48,6 +48,9 @@ BLOCK = 256
 FANOUT = 8
 FIRST_CELLS = 4
 PARTNERS = 4
+#: Stored sets and prefix rows that one task reads.
+SETS_PER_TASK = 5_000
+ROWS_PER_TASK = 250_000
 #: Up to so many ids of candidates are broadcast to the texts.
 BROADCAST_IDS = 4_000_000
 #: Bound of the list of frequent shingles, and from how many sets on one is frequent.
@@ -329,6 +332,11 @@ def prefix_rows(sets: DataFrame, frequent: list[int]) -> DataFrame:
     return sets.select("node", "n", "hashes").mapInArrow(run, "node long, n long, at long, token long")
 
 
+def _sized(stored: DataFrame, most: int) -> DataFrame:
+    """The stored rows in as many tasks as their count asks for, however many partitions they came from."""
+    return stored.coalesce(max(1, -(-stored.count() // most)))
+
+
 def roots_of_candidates(documents: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """node and root of the nodes that may have a partner, after both rounds. `nodes` has key, n and node of all rows.
 
@@ -345,9 +353,9 @@ def roots_of_candidates(documents: DataFrame, nodes: DataFrame, key: str, text:
     # Ids of a counted, small number go to the texts; more of them meet the texts in a shuffle.
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     # A repeated row gives a repeated set here, which only repeats links.
-    sets = cut_lineage(set_table(named.join(wanted, key, "left_semi"), text))
+    sets = _sized(cut_lineage(set_table(named.join(wanted, key, "left_semi"), text)), SETS_PER_TASK)
 
-    rows = cut_lineage(_shared(prefix_rows(sets, frequent_shingles(sets)), "node"))
+    rows = _sized(cut_lineage(_shared(prefix_rows(sets, frequent_shingles(sets)), "node")), ROWS_PER_TASK)
     bitmaps = sets.select("node", "sig").dropDuplicates(["node"])
     first = W.partitionBy("node").orderBy("at")
     few = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIRST_CELLS)
