@@ -1,17 +1,25 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network predicts the class of a word from the two words before it and the two behind it: position-dependent
-embeddings are summed, pass a tanh and give a softmax over word classes, in two levels. A document's score is the sum of the
-log-probabilities of all its words, each given its neighbours on both sides.
+embeddings are summed, pass a tanh and give a softmax over word classes, in two levels. A document's score is the sum, over
+all its words, of log P(class | two words on each side) + log P(word | class).
 
 Word classes: the most frequent words of the whole corpus have a class each, all other words share classes by a hash
-of their last two letters. Counts cover all documents; the list of frequent words has a fixed length.
+of their last two letters. Counts cover all words of all documents. The number of frequent words follows the number V
+of distinct words: the square root of V, rounded up to a multiple of SLOTS, and at least FREQUENT; words that occur once
+have no class of their own. A frequent word has probability 1 in its class. In a shared class of N tokens a word that was counted n times has n / (N + 1), and the 1 / (N + 1)
+left is the mass of all words that were never counted.
 
-Training, in numpy: in each round every partition starts from the shared weights and descends on the masked positions
+The counts of all words meet the documents by word in Spark: a scan cuts the documents of a partition into blocks of about
+BLOCK_WORDS words, with the distinct words of a block and the documents as numbers in that list; the lists are joined
+with the counts and come back to their block. Words that occur once are only tallied by class: a word of a block that
+the counts don't hold is one of them. No table of words is broadcast but the frequent ones.
+
+Training, in numpy: in each round every partition starts from the shared weights and descends on the round's positions
 of all its documents, one position in MASK_EVERY, chosen by a hash of document and place and different in each round.
-The weights are then averaged by the number of positions. What one partition sends is the size of the network; the
-sums are made by chunk in a shuffle, so nothing grows at the driver. The class sequences are written once to the
-shared folder, as rounds and scoring read them again.
+The weights are then averaged by the number of positions. What one partition sends is the size of the
+network; the sums are made by chunk in a shuffle, so nothing grows at the driver. The class sequences are written once
+to the shared folder, as rounds and scoring read them again.
 
 Defined results: a null or empty text, or one without words, has no words, score 0 and no mean; words are read whole,
 whatever the length of a text; repeated rows get equal scores; ties of frequency go to the smaller word; an empty
@@ -20,19 +28,20 @@ table gives no rows. Averages depend on how the rows are partitioned, so scores
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tenuis.llm.common import share, with_text_columns
+from tenuis.llm.common import share
 from tenuis.session import cut_lineage
 
+#: Least number of frequent words.
 FREQUENT = 448
 SUFFIX_CLASSES = 64
 WIDTH = 24
@@ -44,6 +53,8 @@ RATE = 0.15
 #: Words scored at a time.
 BLOCK = 16_384
 CHUNK = 4096
+#: Words in a block of documents, which ends with the document that reaches them.
+BLOCK_WORDS = 1 << 18
 #: Classes in a group of the two-level softmax.
 SLOTS = 32
 
@@ -54,9 +65,25 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
+def frequent_size(distinct: int) -> int:
+    """How many words have a class of their own: the root of the number of distinct words in whole groups, FREQUENT at least."""
+    return max(FREQUENT, -(-isqrt(distinct) // SLOTS) * SLOTS)
+
+
+def suffix_class(word: bytes) -> int:
+    return crc32(word[-2:]) % SUFFIX_CLASSES
+
+
+def class_type(classes: int) -> type:
+    return np.uint16 if classes < 1 << 16 else np.uint32
+
+
 @dataclass(frozen=True)
 class Classes:
+    """The frequent words, and how many tokens each shared class has."""
+
     frequent: dict[bytes, int]
+    tokens: tuple[int, ...] = (0,) * SUFFIX_CLASSES
 
     @property
     def count(self) -> int:
@@ -64,7 +91,13 @@ class Classes:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         get, base = self.frequent.get, len(self.frequent)
-        return np.array([c if (c := get(w)) is not None else base + crc32(w[-2:]) % SUFFIX_CLASSES for w in words], dtype=np.uint16)
+        return np.array([c if (c := get(w)) is not None else base + suffix_class(w) for w in words], dtype=class_type(self.count))
+
+    def inside(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log P(word | class) of words of these classes that were counted so often; 0 stands for words never counted."""
+        base = len(self.frequent)
+        totals = np.concatenate([np.zeros(base), self.tokens])[ids]
+        return np.where(ids < base, 0.0, np.log(np.maximum(counts, 1)) - np.log(totals + 1.0))
 
 
 class Network:
@@ -91,9 +124,13 @@ class Network:
             self.out_bias[:] = np.log(full / full.sum(axis=1, keepdims=True))
 
     def contexts(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Classes around the places, with the edge class beyond the ends."""
-        padded = np.concatenate([[self.classes] * 2, ids.astype(np.int64), [self.classes] * 2])
-        return np.stack([padded[places + 2 + o] for o in OFFSETS], axis=1)
+        """Classes around the ascending places, with the edge class beyond the ends."""
+        if not len(places):
+            return np.empty((0, len(OFFSETS)), dtype=np.int64)
+        low, high = int(places[0]) - 2, int(places[-1]) + 3
+        around = np.full(high - low, self.classes, dtype=np.int64)
+        around[max(low, 0) - low : min(high, len(ids)) - low] = ids[max(low, 0) : high]
+        return np.stack([around[places - low + o] for o in OFFSETS], axis=1)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.bias + self.embed[0][context[:, 0]]
@@ -102,11 +139,11 @@ class Network:
         return np.tanh(total, out=total)
 
     def _by_group(self, target: np.ndarray):
-        """(group, rows) of the groups that the targets are in."""
+        """The rows in the order of their groups, and (group, its span in that order) of the groups that the targets are in."""
         group = target // SLOTS
         order = np.argsort(group, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])[: len(order)])
-        return [(int(group[order[a]]), order[a:b]) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+        return order, [(int(group[order[a]]), slice(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)]
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), dtype=np.float64)
@@ -114,7 +151,9 @@ class Network:
             part = slice(at, at + 8192)
             wanted, h = target[part], self.hidden(context[part])
             picked = _log_softmax_at(h @ self.group_out + self.group_bias, wanted // SLOTS)
-            for group, rows in self._by_group(wanted):
+            order, spans = self._by_group(wanted)
+            for group, span in spans:
+                rows = order[span]
                 picked[rows] += _log_softmax_at(h[rows] @ self.out[group] + self.out_bias[group], wanted[rows] % SLOTS)
             out[part] = picked
         return out
@@ -126,14 +165,25 @@ class Network:
         loss, p = _softmax_error(h @ self.group_out + self.group_bias, target // SLOTS, len(target))
         back = p @ self.group_out.T
         grown.group_out[:], grown.group_bias[:] = h.T @ p, p.sum(axis=0)
-        for group, rows in self._by_group(target):
-            own, q = _softmax_error(h[rows] @ self.out[group] + self.out_bias[group], target[rows] % SLOTS, len(target))
-            loss += own
-            back[rows] += q @ self.out[group].T
-            grown.out[group], grown.out_bias[group] = h[rows].T @ q, q.sum(axis=0)
+        # Rows in the order of their groups: one small product per group, and the softmax over all rows at once.
+        order, spans = self._by_group(target)
+        sorted_h, inner = h[order], np.empty((len(target), SLOTS), dtype=np.float32)
+        for group, span in spans:
+            np.matmul(sorted_h[span], self.out[group], out=inner[span])
+        inner += self.out_bias[target[order] // SLOTS]
+        own, q = _softmax_error(inner, target[order] % SLOTS, len(target))
+        loss += own
+        inner_back = np.empty_like(sorted_h)
+        for group, span in spans:
+            np.matmul(q[span], self.out[group].T, out=inner_back[span])
+            np.matmul(sorted_h[span].T, q[span], out=grown.out[group])
+            grown.out_bias[group] = q[span].sum(axis=0)
+        back[order] += inner_back
         back *= 1.0 - h * h
-        for k in range(len(OFFSETS)):
-            np.add.at(grown.embed[k], context[:, k], back)
+        cells = (context + np.arange(len(OFFSETS)) * (self.classes + 1)).ravel()
+        order = np.argsort(cells, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells[order]) != 0]))
+        grown.embed.reshape(-1, WIDTH)[cells[order[starts]]] = np.add.reduceat(back[order // len(OFFSETS)], starts, axis=0)
         grown.bias[:] = back.sum(axis=0)
         return loss, grown.flat
 
@@ -156,47 +206,155 @@ def _softmax_error(logits: np.ndarray, at: np.ndarray, total: int) -> tuple[floa
     return loss, p
 
 
-def masked_places(size: int, seed: int, turn: int) -> np.ndarray:
-    """About one place in MASK_EVERY, by a hash of the document's seed, the place and the round."""
-    start = (seed + turn * 0x9E3779B9) % 2**32
-    mixed = (np.arange(size, dtype=np.uint64) + np.uint64(start)) * np.uint64(0x9E3779B97F4A7C15)
-    return np.flatnonzero((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) >> np.uint64(60) == 0)
+def masked_places(size: int, seed: int, turn: int, rounds: int = MASK_EVERY) -> np.ndarray:
+    """The places of a round: a hash of the document's seed and the place deals all places out over MASK_EVERY parts, and
+    each part belongs to one of the rounds."""
+    mixed = (np.arange(size, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    part = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) >> np.uint64(60)
+    return np.flatnonzero(part % np.uint64(rounds) == turn)
 
 
-def frequent_words(documents: DataFrame, text: str, most: int = FREQUENT) -> tuple[list[tuple[bytes, int]], int]:
-    """The most frequent words of all documents with their counts, and the number of all words."""
+def packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def count(batches):
-        for batch in batches:
-            found: Counter = Counter()
-            for value in batch.column(0).to_pylist():
-                found.update(words_of(value))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    counts = cut_lineage(
-        documents.select(F.col(text).cast("string")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def blocks(documents: DataFrame, key: str | None, text: str) -> DataFrame:
+    """block (in the order of the rows), keys and sizes of its documents, their words as numbers, the distinct words in the
+    order of the numbers and how often each occurs. Words have no white space, so they are kept as one text."""
+    chosen = documents.select(
+        F.col(key).alias("key") if key else F.lit(None).cast("int").alias("key"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part")
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()], total
+    kind = chosen.schema["key"].dataType.simpleString()
 
+    def cut(batches):
+        made = 0
+        for batch in batches:
+            texts, part = batch.column(1), batch.column(2)
+            at = 0
+            while at < batch.num_rows:
+                start, held, numbers = at, 0, []
+                seen: defaultdict = defaultdict()
+                seen.default_factory = seen.__len__
+                while at < batch.num_rows and held < BLOCK_WORDS:
+                    words = words_of(texts[at].as_py())
+                    numbers.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
+                    held += len(words)
+                    at += 1
+                flat = np.concatenate(numbers)
+                own = np.bincount(flat, minlength=len(seen)).astype(np.uint32)
+                small = flat.astype(np.uint16) if len(seen) < 1 << 16 else flat
+                keys = batch.column(0).slice(start, at - start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(part[0].as_py() << 33) + made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                        pa.array([np.array([len(n) for n in numbers], dtype=np.int64).tobytes()], pa.binary()), pa.array([packed(small.tobytes())], pa.binary()),
+                        pa.array([packed(b" ".join(seen))], pa.binary()), pa.array([packed(own.tobytes())], pa.binary()),
+                    ],
+                    names=["block", "keys", "sizes", "numbers", "words", "own"],
+                )
+                made += 1
+
+    return chosen.mapInArrow(cut, f"block long, keys array<{kind}>, sizes binary, numbers binary, words binary, own binary")
+
+
+def word_counts(cut: DataFrame) -> DataFrame:
+    """word, n: how often every word occurs in all blocks."""
+
+    def listed(batches):
+        for batch in batches:
+            for words, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(words).split(), pa.binary()), pa.array(np.frombuffer(unpacked(own), np.uint32).astype(np.int64))], names=["word", "n"])
 
-def sequences(documents: DataFrame, classes: Classes, key: str, text: str) -> DataFrame:
-    """key and the classes of the words of every row, as bytes of 16-bit numbers."""
-    shared = share(documents.sparkSession, classes)
+    return cut.select("words", "own").mapInArrow(listed, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def work():
-        def compute(texts):
-            return [pa.array([shared.value.of(words_of(t)).tobytes() for t in texts], pa.binary())]
 
-        return compute
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
-    return with_text_columns(documents, [key], text, [T.StructField("ids", T.BinaryType())], work)
 
+def frequent_words(documents: DataFrame, text: str, most: int = FREQUENT) -> tuple[list[tuple[bytes, int]], int]:
+    """The most frequent words of all documents with their counts, and the number of all words."""
+    counts = cut_lineage(word_counts(blocks(documents, None, text)))
+    return _most_frequent(counts, most), counts.agg(F.sum("n")).first()[0] or 0
 
-def descended(network: Network, documents, turn: int) -> tuple[Network, int, float]:
-    """Weights after one pass over the masked places of the class sequences, the number of places and the loss sum."""
+
+def folded(counts: DataFrame) -> DataFrame:
+    """word, n, class: the words that occur more than once with their counts and the class they would share, and by class,
+    without a word, the number of words that occur once."""
+
+    def fold(batches):
+        once = np.zeros(SUFFIX_CLASSES, dtype=np.int64)
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            at = np.array([suffix_class(w) for w in batch.column(0).to_pylist()], dtype=np.int32)
+            once += np.bincount(at[n == 1], minlength=SUFFIX_CLASSES)
+            kept = pa.array(n > 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(at).filter(kept)], names=["word", "n", "class"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(SUFFIX_CLASSES, pa.binary()), pa.array(once), pa.array(range(SUFFIX_CLASSES), pa.int32())], names=["word", "n", "class"]
+        )
+
+    return counts.mapInArrow(fold, "word binary, n long, class int")
+
+
+def shared_tokens(counts: DataFrame, frequent: list[tuple[bytes, int]]) -> np.ndarray:
+    """The tokens of each shared class: those of all words less those of the frequent words."""
+    total = np.zeros(SUFFIX_CLASSES, dtype=np.int64)
+    for row in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        total[row["class"]] = row["n"]
+    for word, n in frequent:
+        total[suffix_class(word)] -= n
+    return total
+
+
+def sequences(cut: DataFrame, counts: DataFrame, classes: Classes, key: str) -> DataFrame:
+    """For every row, in the given order: key, the classes of its words as bytes, and the sum of log P(word | class)."""
+    shared = share(cut.sparkSession, classes)
+    kind = cut.schema["keys"].dataType.elementType.simpleString()
+
+    def rare(batches):
+        known = shared.value.frequent
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kept = [(at, w) for at, w in enumerate(unpacked(words).split()) if w not in known]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(kept), pa.int64()), pa.array([at for at, _ in kept], pa.int32()), pa.array([w for _, w in kept], pa.binary())],
+                    names=["block", "at", "word"],
+                )
+
+    def rows(batches):
+        own = shared.value
+        for batch in batches:
+            for number in range(batch.num_rows):
+                sizes = np.frombuffer(batch.column(1)[number].as_py(), np.int64)
+                words = unpacked(batch.column(3)[number].as_py()).split()
+                flat = np.frombuffer(unpacked(batch.column(2)[number].as_py()), np.uint16 if len(words) < 1 << 16 else np.uint32)
+                ids, seen = own.of(words), np.ones(len(words), dtype=np.int64)
+                found = batch.column(4)[number]
+                if found.is_valid:
+                    seen[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
+                inside = own.inside(ids.astype(np.int64), seen)
+                ends = np.cumsum(sizes)
+                parts = [flat[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[number].values, pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([float(inside[p].sum()) for p in parts], pa.float64())],
+                    names=[key, "ids", "__inside"],
+                )
+
+    listed = cut.select("block", "words").mapInArrow(rare, "block long, at int, word binary").join(counts.where("word IS NOT NULL").select("word", "n"), "word")
+    found = listed.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    whole = cut.select("block", "keys", "sizes", "numbers", "words").join(found, "block", "left").orderBy("block")
+    return whole.select("keys", "sizes", "numbers", "words", "found").mapInArrow(rows, f"`{key}` {kind}, ids binary, __inside double")
+
+
+def descended(network: Network, documents, turn: int, rounds: int) -> tuple[Network, int, float]:
+    """Weights after one pass over the round's places in the class sequences, the number of places and the loss sum."""
     network = Network(network.classes, network.flat.copy())
-    squares = np.full_like(network.flat, 1e-6)
+    squares, scratch = np.full_like(network.flat, 1e-6), np.empty_like(network.flat)
     contexts, targets, held, places, losses = [], [], 0, 0, 0.0
 
     def step():
@@ -204,36 +362,41 @@ def descended(network: Network, documents, turn: int) -> tuple[Network, int, flo
         context, target = np.concatenate(contexts), np.concatenate(targets)
         for at in range(0, len(target), BATCH):
             loss, grown = network.gradient(context[at : at + BATCH], target[at : at + BATCH])
-            squares[:] += grown * grown
-            network.flat[:] -= RATE * grown / np.sqrt(squares)
+            np.multiply(grown, grown, out=scratch)
+            np.add(squares, scratch, out=squares)
+            np.sqrt(squares, out=scratch)
+            np.divide(grown, scratch, out=scratch)
+            np.multiply(scratch, np.float32(RATE), out=scratch)
+            network.flat[:] -= scratch
             places += len(target[at : at + BATCH])
             losses += loss * len(target[at : at + BATCH])
         contexts.clear(), targets.clear()
 
     for ids in documents:
-        at = masked_places(len(ids), crc32(ids.tobytes()), turn)
-        if len(at):
+        chosen = masked_places(len(ids), crc32(ids.tobytes()), turn)
+        for start in range(0, len(chosen), 16 * BATCH):
+            at = chosen[start : start + 16 * BATCH]
             contexts.append(network.contexts(ids, at))
             targets.append(ids[at].astype(np.int64))
             held += len(at)
-        if held >= 16 * BATCH:
-            step()
-            held = 0
+            if held >= 16 * BATCH:
+                step()
+                held = 0
     if held:
         step()
     return network, places, losses
 
 
 def trained(rows: DataFrame, network: Network, rounds: int = ROUNDS) -> tuple[Network, list[float]]:
-    """The network after averaging rounds over all rows, and the mean loss seen in each round."""
+    """The network after averaging rounds, which together take every place of all rows once, and the mean loss seen in each round."""
     history: list[float] = []
     for turn in range(rounds):
         shared = share(rows.sparkSession, (network.classes, network.flat))
 
         def descend(batches, turn=turn, shared=shared):
             start = Network(*shared.value)
-            ids = (np.frombuffer(raw, dtype=np.uint16) for batch in batches for raw in batch.column(0).to_pylist())
-            own, places, losses = descended(start, ids, turn)
+            ids = (np.frombuffer(raw, dtype=class_type(start.classes)) for batch in batches for raw in batch.column(0).to_pylist())
+            own, places, losses = descended(start, ids, turn, rounds)
             if not places:
                 return
             parts = [own.flat[at : at + CHUNK] for at in range(0, len(own.flat), CHUNK)]
@@ -262,7 +425,7 @@ def trained(rows: DataFrame, network: Network, rounds: int = ROUNDS) -> tuple[Ne
             )
 
         schema = "chunk int, n long, loss double, weights binary"
-        # One row for each chunk of the network, whose size is fixed.
+        # One row for each chunk of the network, whose size goes with the number of classes.
         parts = rows.select("ids").mapInArrow(descend, schema).repartition("chunk").mapInArrow(add, schema).orderBy("chunk").collect()
         if not parts:
             break
@@ -286,7 +449,7 @@ def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
     def score(batches):
         own = Network(*shared.value)
         for batch in batches:
-            documents = [np.frombuffer(raw, dtype=np.uint16) for raw in batch.column(1).to_pylist()]
+            documents = [np.frombuffer(raw, dtype=class_type(own.classes)) for raw in batch.column(1).to_pylist()]
             sizes = np.array([len(d) for d in documents], dtype=np.int64)
             sums = np.zeros(len(documents))
             # Words are scored in blocks, which hold several documents or a part of a long one.
@@ -302,22 +465,25 @@ def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
                         _add_scores(own, contexts, targets, owners, sums)
                         held = 0
             _add_scores(own, contexts, targets, owners, sums)
+            sums += batch.column(2).to_numpy()
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(sums), pa.array(means, pa.float64())], names=[key, "n_words", "score", "mean_score"]
             )
 
-    return rows.select(key, "ids").mapInArrow(score, f"`{key}` {key_type}, n_words long, score double, mean_score double")
+    return rows.select(key, "ids", "__inside").mapInArrow(score, f"`{key}` {key_type}, n_words long, score double, mean_score double")
 
 
 def pseudo_likelihood(documents: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Train on all documents and score all of them."""
-    frequent, total = frequent_words(documents, text)
-    classes = Classes({word: number for number, (word, _) in enumerate(frequent)})
-    shares = np.full(classes.count, 1.0)
-    shares[: len(frequent)] += [n for _, n in frequent]
-    shares[len(frequent) :] += max(0, total - sum(n for _, n in frequent)) / SUFFIX_CLASSES
-    rows = cut_lineage(sequences(documents, classes, key, text))
+    cut = cut_lineage(blocks(documents, key, text))
+    counts = cut_lineage(folded(word_counts(cut)))
+    distinct = counts.agg(F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise(1))).first()[0] or 0
+    frequent = _most_frequent(counts.where("word IS NOT NULL"), frequent_size(distinct))
+    tokens = shared_tokens(counts, frequent)
+    classes = Classes({word: number for number, (word, _) in enumerate(frequent)}, tuple(tokens.tolist()))
+    shares = np.concatenate([[n for _, n in frequent], tokens]) + 1.0
+    rows = cut_lineage(sequences(cut, counts, classes, key))
     network, _ = trained(rows, Network(classes.count, shares=shares / shares.sum()), rounds)
     return scored(rows, network, key)
 

@@ -81,3 +81,20 @@ def test_rows(spark):
     ]
     assert got[3]["score"] == got[4]["score"]
     assert lm.report(docs.where("false")).count() == 0
+
+
+def test_number_of_frequent_words_follows_the_corpus():
+    assert [lm.frequent_size(n) for n in (0, 86_461, 404_216, 100_000_000)] == [448, 448, 640, 10_016]
+
+
+def test_a_rare_word_scores_by_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 0)
+    monkeypatch.setattr(lm, "SLOTS", 1)
+    rows = [(i, "the the the") for i in range(40)] + [(90, "kaling"), (91, "kaling"), (92, "kaling"), (93, "zzqing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.pseudo_likelihood(docs).collect()}
+    # One frequent word ('the'); the two others share a class, so that their scores differ by their counts alone.
+    assert got[90] - got[93] == pytest.approx(math.log(3), abs=1e-5)
+    classes = lm.Classes({b"the": 0}, tuple(4 if c == lm.suffix_class(b"ng") else 0 for c in range(lm.SUFFIX_CLASSES)))
+    inside = classes.inside(classes.of([b"the", b"kaling", b"zzqing", b"madeuping"]).astype(np.int64), np.array([0, 3, 1, 0]))
+    assert np.exp(inside).tolist() == pytest.approx([1, 3 / 5, 1 / 5, 1 / 5])
