@@ -16,8 +16,8 @@ with the counts and come back to their block. Words that occur once are only tal
 the counts don't hold is one of them. No table of words is broadcast but the frequent ones.
 
 Training, in numpy: in each round every partition starts from the shared weights and descends on the round's positions
-of all its documents, one position in MASK_EVERY, chosen by a hash of document and place and different in each round.
-The weights are then averaged by the number of positions. What one partition sends is the size of the
+of all its documents. A hash of document and place deals all positions out over the rounds, so every position trains
+exactly once. The weights are then averaged by the number of positions. What one partition sends is the size of the
 network; the sums are made by chunk in a shuffle, so nothing grows at the driver. The class sequences are written once
 to the shared folder, as rounds and scoring read them again.
 
@@ -373,7 +373,7 @@ def descended(network: Network, documents, turn: int, rounds: int) -> tuple[Netw
         contexts.clear(), targets.clear()
 
     for ids in documents:
-        chosen = masked_places(len(ids), crc32(ids.tobytes()), turn)
+        chosen = masked_places(len(ids), crc32(ids.tobytes()), turn, rounds)
         for start in range(0, len(chosen), 16 * BATCH):
             at = chosen[start : start + 16 * BATCH]
             contexts.append(network.contexts(ids, at))

@@ -83,6 +83,13 @@ def test_rows(spark):
     assert lm.report(docs.where("false")).count() == 0
 
 
+def test_every_place_trains_in_exactly_one_round():
+    for size in (1, 3, 15, 5000):
+        for rounds in (1, lm.ROUNDS, lm.MASK_EVERY):
+            taken = [place for turn in range(rounds) for place in lm.masked_places(size, 5, turn, rounds).tolist()]
+            assert sorted(taken) == list(range(size))
+
+
 def test_number_of_frequent_words_follows_the_corpus():
     assert [lm.frequent_size(n) for n in (0, 86_461, 404_216, 100_000_000)] == [448, 448, 640, 10_016]
 
