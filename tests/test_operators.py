@@ -301,3 +301,13 @@ def test_echo_links_give_all_pairs_and_groups(spark):
                     key = (*a[:2], *sorted((o, o2)))
                     got[key] = min(got.get(key, 9), gap)
     assert got == want and ("c9", "t", "B", "C") in got
+
+
+def test_long_cue_sentences_get_a_maturity_passage(spark):
+    long = "filler words " * 250 + "edge chip is widely used here " + "more words " * 250
+    docs = [("d1", long), ("d2", "Some start. Edge chip is widely used. An end."), ("d3", "filler words " * 250 + "is widely used")]
+    links = spark.createDataFrame([("c", d, "edge chip") for d, _ in docs], "candidate_id string, document_id string, term string")
+    texts = dict(docs)
+    got = {r["document_id"]: r for r in ev.maturity_passages(links, spark.createDataFrame(docs, "document_id string, excerpt string")).collect()}
+    assert set(got) == {"d1", "d2"} and got["d2"]["weight"] == 10 and got["d1"]["weight"] is None
+    assert "edge chip" in texts["d1"][got["d1"]["start"] : got["d1"]["end"]] and got["d1"]["end"] - got["d1"]["start"] <= ev.PASSAGE_CHARS
