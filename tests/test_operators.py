@@ -311,3 +311,14 @@ def test_long_cue_sentences_get_a_maturity_passage(spark):
     got = {r["document_id"]: r for r in ev.maturity_passages(links, spark.createDataFrame(docs, "document_id string, excerpt string")).collect()}
     assert set(got) == {"d1", "d2"} and got["d2"]["weight"] == 10 and got["d1"]["weight"] is None
     assert "edge chip" in texts["d1"][got["d1"]["start"] : got["d1"]["end"]] and got["d1"]["end"] - got["d1"]["start"] <= ev.PASSAGE_CHARS
+
+
+def test_fit_tells_a_missed_tolerance(spark):
+    rows = [
+        (f"r{i}", f"g{i}", "a", None, i % 2, "word", *[i % 3 == 0] * len(feat.STRUCTURED), *[float(i)] * len(feat.NUMERIC)) for i in range(12)
+    ]
+    schema = "candidate_id string, group_id string, domain string, negative_class string, target int, model_text string, "
+    schema += ", ".join(f"{c} boolean" for c in feat.STRUCTURED) + ", " + ", ".join(f"{c} double" for c in feat.NUMERIC)
+    df = spark.createDataFrame(rows, schema)
+    with pytest.warns(RuntimeWarning, match="over the tolerance"):
+        ml.fit(ml.whole_set(df), df, ml.term_counts(df), steps=1)
