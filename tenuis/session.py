@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Durable checkpoint: an executor loss does not lose the rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share; nothing is there yet."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
+    """The rows written once as Parquet to the shared folder: later readers scan only the columns and rows they need."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
