@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, html_text, jaccard, language, licenses, nbest, neighbours, pii, pseudo_lm
+from tenuis.llm import chat, decontaminate, html_text, jaccard, language, lexical, licenses, nbest, neighbours, pii, pseudo_lm
 from tenuis.llm.common import table
 
 
@@ -46,6 +46,10 @@ def nearest_neighbours(spark, sf):
     return neighbours.report(table(spark, sf, "embeddings"))
 
 
+def ranked_search(spark, sf):
+    return lexical.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_chat_formatting": chat_formatting,
@@ -57,10 +61,12 @@ QUERIES = {
     "op8_language_id": language_id,
     "op9_personal_data": personal_data,
     "op10_nearest_neighbours": nearest_neighbours,
+    "op12_ranked_search": ranked_search,
 }
 
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op4_jaccard_join": jaccard.ORACLE_SQL,
+    "op12_ranked_search": lexical.ORACLE_SQL,
 }
