@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import chat, decontaminate, html_text, jaccard, language, lexical, licenses, nbest, neighbours, pii, pseudo_lm
+from tenuis.llm import alignment, chat, decontaminate, html_text, jaccard, language, lexical, licenses, nbest, neighbours, pii, pseudo_lm
 from tenuis.llm.common import table
 
 
@@ -50,6 +50,10 @@ def ranked_search(spark, sf):
     return lexical.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def tokenizer_alignment(spark, sf):
+    return alignment.report(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_chat_formatting": chat_formatting,
@@ -62,6 +66,7 @@ QUERIES = {
     "op9_personal_data": personal_data,
     "op10_nearest_neighbours": nearest_neighbours,
     "op12_ranked_search": ranked_search,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 ORACLES = {
