@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenuis.llm import alignment, chat, decontaminate, html_text, jaccard, language, lexical, licenses, nbest, neighbours, pii, pseudo_lm
+from tenuis.llm import alignment, chat, decontaminate, html_text, jaccard, language, lexical, licenses, nbest, neighbours, pii, pseudo_lm, warc
 from tenuis.llm.common import table
 
 
@@ -46,6 +46,10 @@ def nearest_neighbours(spark, sf):
     return neighbours.report(table(spark, sf, "embeddings"))
 
 
+def warc_assembly(spark, sf):
+    return warc.report(table(spark, sf, "pages"))
+
+
 def ranked_search(spark, sf):
     return lexical.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_language_id": language_id,
     "op9_personal_data": personal_data,
     "op10_nearest_neighbours": nearest_neighbours,
+    "op11_warc_assembly": warc_assembly,
     "op12_ranked_search": ranked_search,
     "op13_tokenizer_alignment": tokenizer_alignment,
 }
@@ -73,5 +78,6 @@ ORACLES = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op4_jaccard_join": jaccard.ORACLE_SQL,
+    "op11_warc_assembly": warc.ORACLE_SQL,
     "op12_ranked_search": lexical.ORACLE_SQL,
 }
