@@ -27,7 +27,7 @@ id all count as best. An empty table gives no rows. Other columns are never read
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,9 +43,10 @@ from tenuis.session import stored
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of parts that a worker remembers.
-MEMORY_BYTES = 48 << 20
-#: Bytes of text encoded at a time.
+MEMORY_BYTES = 96 << 20
+#: Bytes of text in a slice, and characters of new parts encoded as one text.
 SLICE_BYTES = 2 << 20
+RUN_CHARACTERS = 32_768
 #: Postings in a container, which ends with the slice that reaches them, and its most documents.
 CONTAINER_POSTINGS = 1_500_000
 CONTAINER_DOCUMENTS = 1 << 16
@@ -57,6 +58,9 @@ _INDEX = (
     "a int, b int, planes array<binary>"
 )
 
+#: Fixed value: how the byte-level vocabulary cuts a text into words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _between = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -69,26 +73,40 @@ def _byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Coders:
-    """Both tokenizers with the bytes of each id."""
+    """Both tokenizers with the bytes of each id.
+
+    A's merges are its vocabulary in the order of the ids, which `read` checks; the coder of such ranks is faster than one
+    that reads the file's merge list, and a test compares them."""
 
     a: object
     b: object
     a_bytes: list[bytes]
     b_bytes: list[bytes]
 
+    def __post_init__(self):
+        self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
+        self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
+        # A group is written as A's ids, '|', B's ids, ';': each id with what follows it.
+        self.written = [f"{n}{after}" for count, mark in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for after in (",", mark) for n in range(count)]
+        self.written_length = np.array(list(map(len, self.written)), np.int64)
+
     @staticmethod
     def read(a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) -> Coders:
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        a = Tokenizer.from_file(a_path)
-        a.encode_special_tokens = True
+        with open(a_path, encoding="utf-8") as file:
+            stored_form = json.load(file)
         alphabet = _byte_alphabet()
-        special = {number for number, token in a.get_added_tokens_decoder().items() if token.special}
-        a_bytes = [b""] * a.get_vocab_size()
-        for token, number in a.get_vocab().items():
-            a_bytes[number] = token.encode() if number in special else bytes(alphabet[c] for c in token)
+        special = {token["content"] for token in stored_form["added_tokens"] if token["special"]}
+        vocabulary = stored_form["model"]["vocab"]
+        a_bytes = [b""] * len(vocabulary)
+        for token, number in vocabulary.items():
+            a_bytes[number] = token.encode() if token in special else bytes(alphabet[c] for c in token)
+        ranks = {a_bytes[number]: number for token, number in vocabulary.items() if token not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in stored_form["model"]["merges"]]
+        if [vocabulary[x + y] for x, y in merges] != list(range(256, 256 + len(merges))):
+            raise ValueError("the ids of A are not in the order of its merges")
         b = SentencePieceProcessor(model_file=b_path)
         b_bytes = []
         for number in range(b.get_piece_size()):
@@ -98,34 +116,14 @@ class Coders:
                 raise ValueError(f"piece {number} has a space behind another character")
         if not all(a_bytes) or not all(b_bytes):
             raise ValueError("a token without bytes")
-        return Coders(a, b, a_bytes, b_bytes)
-
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B for parts, which all start with a space."""
-        ours = self.a.encode_batch(parts, add_special_tokens=False)
-        theirs = self.b.encode([p[1:] for p in parts], num_threads=1)
-        for one, two in zip(ours, theirs, strict=True):
-            yield one.ids, two
-
-    def aligned(self, part: str, a_ids: list[int], b_ids: list[int]) -> tuple[list[str], list[tuple[int, int]]] | None:
-        """The groups as text and the linked pairs of a part; None if a tokenizer doesn't give its bytes back."""
-        raw = part.encode("utf-8", "surrogatepass")
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a_ids]) != raw or b"".join([b_bytes[i] for i in b_ids]) != raw:
-            return None
-        groups, pairs = [], []
-        a_end = b_end = a_first = b_first = at = 0
-        for a_at, number in enumerate(a_ids):
-            a_end += len(a_bytes[number])
-            while b_end < a_end:
-                b_end += len(b_bytes[b_ids[at]])
-                at += 1
-            if a_end == b_end:
-                left, right = a_ids[a_first : a_at + 1], b_ids[b_first:at]
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                pairs.append((left[-1], right[-1]))
-                a_first, b_first = a_at + 1, at
-        return groups, pairs
+        return Coders(tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}), b, a_bytes, b_bytes)
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of A and B of a text that starts with a space; None if a tokenizer doesn't give its bytes back."""
+        raw = text.encode("utf-8", "surrogatepass")
+        ours, theirs = self.a.encode_ordinary(text), self.b.encode(text[1:])
+        same = b"".join(map(self.a_bytes.__getitem__, ours)) == raw and b"".join(map(self.b_bytes.__getitem__, theirs)) == raw
+        return (ours, theirs) if same else None
 
 
 def parts_of(text: str) -> list[str]:
@@ -142,26 +140,89 @@ class Parts:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []
-        self.n_a: list[int] = []
-        self.n_b: list[int] = []
-        self.pairs: list[int] = []
-        self.ends: list[int] = [0]
+        self.groups: list[str] = []  # of each part, each group followed by ;
+        empty = np.zeros(0, np.int64)
+        self.n_a, self.n_b, self.n_groups, self.pairs = empty, empty, empty, empty
+        self.bad = np.zeros(0, bool)
         self.held = 0
 
     def learn(self, texts: list[list[str]]) -> None:
         if self.held > self.most:
             self._clear()
-        new = list(dict.fromkeys(p for parts in texts for p in parts if p not in self.number))
-        for part, (a_ids, b_ids) in zip(new, self.coders.encode(new), strict=True):
-            found = self.coders.aligned(part, a_ids, b_ids)
-            self.number[part] = len(self.groups)
-            self.groups.append(None if found is None else ";".join(found[0]))
-            self.n_a.append(len(a_ids))
-            self.n_b.append(len(b_ids))
-            self.pairs += [] if found is None else [a << 32 | b for a, b in found[1]]
-            self.ends.append(len(self.pairs))
-            self.held += 400 + 4 * len(part) + 60 * (0 if found is None else len(found[1]))
+        known = self.number
+        new = list(dict.fromkeys([p for parts in texts for p in parts if p not in known]))
+        good, a_ids, b_ids, bad = [], [], [], []
+        for run in self._runs(new):
+            found = self.coders.encode("".join(run))
+            if found is None and len(run) > 1:
+                single = [(part, self.coders.encode(part)) for part in run]
+            else:
+                single = [(None, found)]
+            for part, ids in single:
+                members = run if part is None else [part]
+                if ids is None:
+                    bad += members
+                else:
+                    good += members
+                    a_ids += ids[0]
+                    b_ids += ids[1]
+        self._add(good, np.array(a_ids, np.int64), np.array(b_ids, np.int64))
+        for part in bad:
+            known[part] = len(self.groups)
+            self.groups.append("")
+        none = np.zeros(len(bad), np.int64)
+        self.n_a, self.n_b, self.n_groups = (np.concatenate([x, none]) for x in (self.n_a, self.n_b, self.n_groups))
+        self.bad = np.concatenate([self.bad, np.ones(len(bad), bool)])
+        self.held += sum(300 + 2 * len(p) for p in bad)
+
+    @staticmethod
+    def _runs(parts: list[str]) -> Iterator[list[str]]:
+        """Parts that may be encoded as one text: between two of them is a cut of both tokenizers."""
+        run, size = [], 0
+        for part in parts:
+            if part[1:2].isspace() or part[-1].isspace():
+                yield [part]
+                continue
+            run.append(part)
+            size += len(part)
+            if size > RUN_CHARACTERS:
+                yield run
+                run, size = [], 0
+        if run:
+            yield run
+
+    def _add(self, parts: list[str], a_ids: np.ndarray, b_ids: np.ndarray) -> None:
+        """Groups and links of parts from the ids of their texts, one behind the other."""
+        if not parts:
+            return
+        coders = self.coders
+        a_end, b_end = np.cumsum(coders.a_length[a_ids]), np.cumsum(coders.b_length[b_ids])
+        part_end = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+        at = np.searchsorted(b_end, a_end)
+        a_cut = b_end[np.minimum(at, len(b_end) - 1)] == a_end
+        b_cut = np.zeros(len(b_ids), bool)
+        b_cut[at[a_cut]] = True
+        a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        item = np.concatenate([a_ids + a_cut * len(coders.a_bytes), 2 * len(coders.a_bytes) + b_ids + b_cut * len(coders.b_bytes)])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        item = item[order]
+        text = "".join(map(coders.written.__getitem__, item.tolist()))
+        ends_group = np.concatenate([np.zeros(len(a_ids), bool), b_cut])[order]
+        group_end = np.cumsum(coders.written_length[item])[ends_group]
+        groups = np.searchsorted(a_end[a_cut], part_end, "right")
+        stop = group_end[groups - 1].tolist()
+        first = len(self.groups)
+        self.groups += [text[x:y] for x, y in zip([0, *stop], stop, strict=False)]
+        self.number.update(zip(parts, range(first, first + len(parts)), strict=True))
+
+        def more(have: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            return np.concatenate([have, np.diff(ends, prepend=0)])
+
+        self.n_a, self.n_b = more(self.n_a, np.searchsorted(a_end, part_end, "right")), more(self.n_b, np.searchsorted(b_end, part_end, "right"))
+        self.n_groups = more(self.n_groups, groups)
+        self.bad = np.concatenate([self.bad, np.zeros(len(parts), bool)])
+        self.pairs = np.concatenate([self.pairs, a_ids[a_cut] << 32 | b_ids[at[a_cut]]])
+        self.held += 300 * len(parts) + 2 * int(part_end[-1]) + len(text) + 8 * len(group_end)
 
 
 class _Container:
@@ -179,28 +240,30 @@ class _Container:
         """Documents of a slice, at most as many as there is room for."""
         cut = [parts_of(t) if t else [] for t in texts]
         parts.learn(cut)
-        numbers, sizes = [], []
-        for doc, words in zip(ids, cut, strict=True):
-            at = list(map(parts.number.__getitem__, words))
-            groups = [parts.groups[i] for i in at]
-            if not at or None in groups:
-                self.rows.append((doc, 0, 0, 0, ""))
-                sizes.append(0)
-                continue
-            n_groups = sum([parts.ends[i + 1] - parts.ends[i] for i in at])
-            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-            self.rows.append((doc, sum([parts.n_a[i] for i in at]), sum([parts.n_b[i] for i in at]), n_groups, digest))
-            numbers += at
-            sizes.append(len(at))
-        if numbers:
-            at = np.array(numbers, np.int64)
-            place = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.array(list(map(len, cut)), np.int64)
+        numbers = [list(map(parts.number.__getitem__, words)) for words in cut]
+        at = np.fromiter((n for row in numbers for n in row), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+
+        def by_document(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(values[at])])
+            return total[ends] - total[ends - sizes]
+
+        whole = (sizes > 0) & (by_document(parts.bad) == 0)
+        counts = [np.where(whole, by_document(v), 0).tolist() for v in (parts.n_a, parts.n_b, parts.n_groups)]
+        text_of = parts.groups.__getitem__
+        digests = [hashlib.sha256("".join(map(text_of, row))[:-1].encode()).hexdigest() if good else "" for row, good in zip(numbers, whole.tolist(), strict=True)]
+        self.rows += zip(ids, *counts, digests, strict=True)
+        place = np.repeat(np.arange(len(ids)), sizes)
+        keep = whole[place]
+        place, at = place[keep], at[keep]
+        if len(at):
             key, times = np.unique(place * len(parts.groups) + at, return_counts=True)
             place, at = np.divmod(key, len(parts.groups))
-            ends = np.array(parts.ends, np.int64)
-            size = ends[at + 1] - ends[at]
-            offset = np.repeat(ends[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            pair, place, times = _summed(np.array(parts.pairs, np.int64)[offset], np.repeat(place, size), np.repeat(times, size))
+            size = parts.n_groups[at]
+            begin = np.concatenate([[0], np.cumsum(parts.n_groups)])[at]
+            offset = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            pair, place, times = _summed(parts.pairs[offset], np.repeat(place, size), np.repeat(times, size))
             self.found.append((pair, (place + self.documents).astype(np.int32), times.astype(np.int32)))
             self.postings += len(pair)
         self.documents += len(ids)
