@@ -255,10 +255,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def roots_of(records: DataFrame) -> DataFrame:
     """record_id, root of the request and metadata records. `records` is read several times: store it first."""
     good = records.where(F.col("problem").isNull()).select("record_id", "type", "concurrent_to")
-    one = good.select(F.col("record_id").alias("u"), F.explode("concurrent_to").alias("v"))
-    links = stored(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    is_root = F.col("type").isin(*ROOTS)
+    told = good.select(F.col("record_id").alias("u"), F.explode("concurrent_to").alias("v"), is_root.alias("of_root"))
     rest = good.where(F.col("type").isin(*PARTS)).select("record_id").distinct()
-    reached = good.where(F.col("type").isin(*ROOTS)).select("record_id", F.col("record_id").alias("root")).distinct()
+    reached = good.where(is_root).select("record_id", F.col("record_id").alias("root")).distinct()
+    # From a root away: what it names, and what names it.
+    links = told.where("of_root").select("u", "v").unionByName(told.where("not of_root").select(F.col("v").alias("u"), F.col("u").alias("v")))
     parts = []
     while True:
         # A round for each step away from a root; usually there is one.
@@ -268,8 +270,10 @@ def roots_of(records: DataFrame) -> DataFrame:
         parts.append(reached)
         if rest.isEmpty() or reached.isEmpty():
             break
+        links = told.select("u", "v").unionByName(told.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not rest.isEmpty():
-        inner = links.join(rest.withColumnRenamed("record_id", "u"), "u", "left_semi").join(rest.withColumnRenamed("record_id", "v"), "v", "left_semi")
+        own = rest.withColumnRenamed("record_id", "u")
+        inner = told.join(own, "u", "left_semi").join(rest.withColumnRenamed("record_id", "v"), "v", "left_semi")
         parts.append(components(rest, "record_id", inner.where("u <> v").select("u", "v")))
     out = parts[0]
     for part in parts[1:]:
@@ -280,12 +284,17 @@ def roots_of(records: DataFrame) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata, n_requests, n_metadata.
 
-    `records` is read several times: store it first."""
+    `records` is scanned twice: once for what links and surrounds the roots, which is stored, and once for the roots with
+    their payloads, which move once, by capture."""
     good = records.where(F.col("problem").isNull())
-    about = F.struct("record_id", "date", "target_uri", "http_header", "payload")
-    sides = [F.min(F.when(F.col("type") == part, about)).alias(part) for part in PARTS]
-    counts = [F.count_if(F.col("type") == part).alias(f"n_{name}") for part, name in zip(PARTS, ("requests", "metadata"), strict=True)]
-    beside = good.where(F.col("type").isin(*PARTS)).join(roots_of(records), "record_id").groupBy("root").agg(*sides, *counts)
+    part = F.col("type").isin(*PARTS)
+    small = good.where(part | F.col("type").isin(*ROOTS)).select(
+        "record_id", "type", "concurrent_to", F.when(part, F.struct("record_id", "date", "target_uri", "http_header", "payload")).alias("about"), "problem"
+    )
+    small = stored(small, "records")
+    sides = [F.min(F.when(F.col("type") == side, F.col("about"))).alias(side) for side in PARTS]
+    counts = [F.count_if(F.col("type") == side).alias(f"n_{name}") for side, name in zip(PARTS, ("requests", "metadata"), strict=True)]
+    beside = small.where(part).select("record_id", "type", "about").join(roots_of(small), "record_id").groupBy("root").agg(*sides, *counts)
     main = good.where(F.col("type").isin(*ROOTS)).select(
         F.col("record_id").alias("root"), F.struct("record_id", "type", "date", "target_uri", "fields", "http_header", "payload", "payload_digest").alias("response")
     )
@@ -328,8 +337,7 @@ def report(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    records = stored(read_archives(spark, path), "records")
-    return resolved(captures(records)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolved(captures(read_archives(spark, path))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
