@@ -128,11 +128,3 @@ def review_totals(decisions: DataFrame) -> DataFrame:
         for name in ("same_candidate", "same_family", "distinct")
     ]
     return decisions.agg(*out).withColumn("ready_for_model", F.col("same_candidate") == 0)
-
-
-def unresolved_pairs(decisions: DataFrame, selected: DataFrame) -> DataFrame:
-    """Same-candidate decisions whose both ends are selected."""
-    ids = selected.select("candidate_id")
-    same = decisions.where(F.col("relation") == "same_candidate")
-    same = same.join(ids, same["left_candidate_id"] == ids["candidate_id"], "left_semi")
-    return same.join(ids, same["right_candidate_id"] == ids["candidate_id"], "left_semi")

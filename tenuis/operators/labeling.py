@@ -368,14 +368,6 @@ def rubric_violations(decisions: DataFrame, evidence: DataFrame, recent: dt.date
     )
 
 
-def label_evidence(decisions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(linked, missing): evidence ids of a decision given as a ``;`` list."""
-    ids = decisions.select("decision_id", F.explode(F.split("evidence_ids", ";")).alias("e")).select(
-        "decision_id", F.trim("e").alias("evidence_id")
-    ).where(F.col("evidence_id") != "")
-    return ids.join(evidence, "evidence_id"), ids.join(evidence.select("evidence_id"), "evidence_id", "left_anti")
-
-
 def search_notes(runs: DataFrame) -> DataFrame:
     """Source classes a run really searched, with status and stop reasons; a class without an
     executed request never counts."""
