@@ -92,9 +92,8 @@ def fill_noise(pool: DataFrame, slots: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def first_url(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """First document of a noise item that has an address (noise_id, ids array)."""
-    ids = items.select("noise_id", F.posexplode("document_ids").alias("pos", "document_id"))
-    found = ids.join(documents.where(F.trim("url") != ""), "document_id")
+    """First document of a noise item that has an address; items: one row per document (noise_id, pos, document_id)."""
+    found = items.join(documents.where(F.trim("url") != ""), "document_id")
     return found.groupBy("noise_id").agg(F.min_by("url", "pos").alias("url"))
 
 

@@ -43,7 +43,7 @@ def conflicting_copies(spark: SparkSession, sf: str) -> DataFrame:
 def later_wins(spark: SparkSession, sf: str) -> DataFrame:
     parts = t.table(spark, sf, "part").select("p_name", "p_size")
     least = parts.groupBy("p_name").agg(F.min("p_size").alias("p_size"))
-    later = parts.where(F.col("p_size") > 48).groupBy("p_name").agg(F.max("p_size").alias("p_size"))
+    later = parts.groupBy("p_name").agg(F.max("p_size").alias("p_size")).where(F.col("p_size") > 48)
     return checks.later_wins(least, later, "p_name")
 
 

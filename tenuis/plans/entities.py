@@ -53,8 +53,8 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def organizations(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of size-50 parts stand for organization names, in every quantity."""
-    parts = t.table(spark, sf, "part").where((F.col("p_size") == 50))
+    """The name of every part with its own size stands for an organization name."""
+    parts = t.table(spark, sf, "part")
     name = F.concat("p_name", F.lit(" "), F.replace("p_brand", F.lit("Brand#"), F.lit("mk")), F.lit(" "), F.col("p_size"))
     return parts.select(tx.orthographic_key(name).alias("key")).distinct()
 
@@ -258,7 +258,7 @@ MENTIONS_SQL = f"""WITH m0 AS (
 m1 AS (SELECT *, {_ortho('text')} AS key, {_NAME.format('text')} AS name_key FROM m0),
 mentions AS (SELECT DISTINCT ON (mention_id) * FROM (
   SELECT *, 'mention-' || substr(sha256(document_id || '|' || kind || '|' || locator || '|line||' || name_key), 1, 16) AS mention_id FROM m1)),
-orgs AS (SELECT DISTINCT {_ortho("p_name || ' ' || replace(p_brand, 'Brand#', 'mk') || ' ' || p_size")} AS key FROM part WHERE p_size = 50),
+orgs AS (SELECT DISTINCT {_ortho("p_name || ' ' || replace(p_brand, 'Brand#', 'mk') || ' ' || p_size")} AS key FROM part),
 spell AS (SELECT key, text, max(provider_score) AS score, count(*) AS n FROM mentions GROUP BY ALL),
 nm AS (SELECT key, arg_min(text, (-coalesce(score, -1), lower(text), text)) AS canonical_name, max(score) AS max_score,
    CAST(sum(n) AS BIGINT) AS mentions, count(*) - 1 AS aliases FROM spell GROUP BY key),

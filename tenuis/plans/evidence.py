@@ -90,10 +90,12 @@ def gate_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit answers exist for every part of size over 40 and all say review."""
+    """Every part has an audit answer: review for sizes over 40, else accept."""
     first = gate_decisions(spark, sf)
-    audit = t.table(spark, sf, "part").where(F.col("p_size") > 40).select(
-        F.concat(F.lit("part-"), "p_partkey").alias("proposal_id"), F.lit("review").alias("decision"), F.lit("insufficient_context").alias("reason")
+    large = F.col("p_size") > 40
+    audit = t.table(spark, sf, "part").select(
+        F.concat(F.lit("part-"), "p_partkey").alias("proposal_id"), F.when(large, "review").otherwise("accept").alias("decision"),
+        F.when(large, "insufficient_context").otherwise("technical_application").alias("reason"),
     )
     return ev.audited(first, audit).groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("proposals"))
 
@@ -167,13 +169,13 @@ def promotion_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retry_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Primary and retry runs of every customer; claims of the retry are its orders over 400 000."""
+    """Primary and retry runs of every customer (not run for low balances); its orders are claims of the retry."""
     k = F.col("c_custkey")
     name = F.concat(F.lit("cust-"), k).alias("candidate_id")
     customers = t.table(spark, sf, "customer")
     primary = customers.select(name, F.when(k % 4 == 0, "failed").otherwise("complete").alias("status"))
-    retry = customers.where(F.col("c_acctbal") > 3000).select(name, F.when(k % 3 == 0, "failed").otherwise("complete").alias("status"))
-    claims = t.table(spark, sf, "orders").where(F.col("o_totalprice") > 400000).select(F.concat(F.lit("cust-"), "o_custkey").alias("candidate_id"))
+    retry = customers.select(name, F.when(F.col("c_acctbal") <= 3000, "not_run").when(k % 3 == 0, "failed").otherwise("complete").alias("status"))
+    claims = t.table(spark, sf, "orders").select(F.concat(F.lit("cust-"), "o_custkey").alias("candidate_id"))
     return ev.retry_source(primary, retry, claims)
 
 
@@ -199,7 +201,7 @@ ORACLES = {
     "evidence_failures": _FAIL + """SELECT 'task-' || conv_id AS task_id, CASE WHEN conv_id % 17 = 6 THEN 'invalid_json' WHEN conv_id % 11 = 5 THEN 'candidate_differs' ELSE 'documents_differ' END AS failure
  FROM tk WHERE conv_id % 17 = 6 OR conv_id % 11 = 5 OR (conv_id % 13 = 4 AND has1)""",
     "gate_decisions": _GATE + "SELECT batch_id, proposal_id, decision, reason, issue FROM gd",
-    "gate_audit": _GATE + "SELECT decision, reason, count(*) AS proposals FROM (SELECT CASE WHEN decision = 'accept' AND p_size > 40 THEN 'review' ELSE decision END AS decision, CASE WHEN decision = 'accept' AND p_size > 40 THEN 'insufficient_context' ELSE reason END AS reason FROM gd) GROUP BY ALL",
+    "gate_audit": _GATE + "SELECT decision, reason, count(*) AS proposals FROM (SELECT CASE WHEN decision = 'accept' AND p_size > 40 THEN 'review' ELSE decision END AS decision, CASE WHEN decision = 'accept' THEN CASE WHEN p_size > 40 THEN 'insufficient_context' ELSE 'technical_application' END ELSE reason END AS reason FROM gd) GROUP BY ALL",
     "gate_attempts": _GATE + """SELECT batch_id, CASE WHEN count(*) FILTER (issue = 'invalid_decision') > 0 THEN 2 ELSE 1 END AS attempt,
  count(*) FILTER (issue IS NOT NULL AND issue <> 'invalid_decision') AS issues FROM gd GROUP BY 1""",
     "mention_answers": f"""WITH {t.DOCS_SQL.strip()},
@@ -220,7 +222,7 @@ JOIN (SELECT document_id, unnest([title_key, excerpt_key]) AS k FROM docs WHERE
 SELECT candidate_id, CASE WHEN n IS NULL THEN 'not_grounded' WHEN item_id % 4 < 2 THEN CASE WHEN n THEN 'evidence_review_required' ELSE 'alias_review_required' END
  WHEN item_id % 4 = 2 THEN 'gate_rejected' ELSE 'gate_review' END AS promotion_status FROM cands LEFT JOIN gr USING (candidate_id)""",
     "retry_merge": """WITH p AS (SELECT 'cust-' || c_custkey AS candidate_id, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'complete' END AS ps,
- CASE WHEN c_acctbal > 3000 THEN CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'complete' END END AS rs, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS h FROM customer),
+ CASE WHEN c_acctbal > 3000 THEN CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'complete' END END AS rs, c_custkey IN (SELECT o_custkey FROM orders) AS h FROM customer),
 u AS (SELECT *, coalesce(rs = 'complete', false) AND (h OR ps = 'failed') AS u FROM p)
 SELECT candidate_id, CASE WHEN u THEN 'retry' ELSE 'primary' END AS run, u AND NOT h AS recovered FROM u""",
 }

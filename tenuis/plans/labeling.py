@@ -104,19 +104,20 @@ def noise_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def noise_urls(spark: SparkSession, sf: str) -> DataFrame:
-    items = t.table(spark, sf, "orders").join(t.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(
-        F.sort_array(F.collect_set("l_partkey")).alias("ids")
-    ).select(F.concat(F.lit("noise-"), "o_custkey").alias("noise_id"), F.col("ids").alias("document_ids"))
+    items = t.table(spark, sf, "orders").join(t.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.concat(F.lit("noise-"), "o_custkey").alias("noise_id"), F.col("l_partkey").alias("pos"), F.col("l_partkey").alias("document_id")
+    )
     docs = t.table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), F.when(F.col("p_size") > 45, F.concat(F.lit("https://p.example/"), "p_partkey")).otherwise("").alias("url"))
     return lab.first_url(items, docs)
 
 
 def noise_controls(spark: SparkSession, sf: str) -> DataFrame:
-    """Controls are brand and type; proposals are the same for parts of size under 5."""
-    label = F.concat_ws(" ", "p_name", "p_brand")
+    """Every part is a control and a proposal. Controls of larger sizes name a part by name and brand as the proposals do,
+    those of smaller ones add the type, so some match no proposal, some one and some several."""
+    label = F.concat_ws(" ", "p_name", "p_brand", F.when(F.col("p_size") < 5, F.col("p_type")))
     parts = t.table(spark, sf, "part")
-    controls = parts.where(F.col("p_size") > 45).select(F.concat(F.lit("noise-"), "p_partkey").alias("noise_id"), F.upper(label).alias("text"))
-    names = parts.where(F.col("p_size") < 5).select(label.alias("name"), F.concat(F.lit("part-"), "p_partkey").alias("proposal_id"))
+    controls = parts.select(F.concat(F.lit("noise-"), "p_partkey").alias("noise_id"), F.upper(label).alias("text"))
+    names = parts.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.concat(F.lit("part-"), "p_partkey").alias("proposal_id"))
     return lab.control_matches(controls, names)
 
 
@@ -346,7 +347,7 @@ SELECT slot_id, c.domain, c.group_id, g.domain AS group_domain, CASE WHEN count(
     "noise_filled": _N + "SELECT slot_id, noise_type, domain, pos FROM sn JOIN pl USING (noise_type, position)",
     "noise_dropped": _N + "SELECT noise_type, reason, count(*) AS items FROM rs WHERE reason IS NOT NULL GROUP BY ALL",
     "noise_urls": "SELECT 'noise-' || o_custkey AS noise_id, 'https://p.example/' || min(l_partkey) AS url FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45 GROUP BY o_custkey",
-    "noise_controls": """WITH n AS (SELECT lower(p_name || ' ' || p_brand) AS k, 'part-' || p_partkey AS id FROM part WHERE p_size < 5), c AS (SELECT 'noise-' || p_partkey AS noise_id, lower(p_name || ' ' || p_brand) AS k FROM part WHERE p_size > 45)
+    "noise_controls": """WITH n AS (SELECT lower(p_name || ' ' || p_brand) AS k, 'part-' || p_partkey AS id FROM part), c AS (SELECT 'noise-' || p_partkey AS noise_id, lower(p_name || ' ' || p_brand || CASE WHEN p_size < 5 THEN ' ' || p_type ELSE '' END) AS k FROM part)
 SELECT noise_id, count(id) AS matches, CASE WHEN count(id) = 1 THEN min(id) END AS proposal_id FROM c LEFT JOIN n USING (k) GROUP BY 1""",
     "noise_report": """WITH r AS (SELECT p_size > 10 AS e, CASE WHEN p_partkey % 7 <> 0 THEN (['reject','review','accept','reject'])[p_partkey % 4 + 1] END AS d, p_partkey % 9 <> 0 AS c FROM part),
 a AS (SELECT count(*) AS controls, count(*) FILTER (e) AS expected, count(*) FILTER (e AND d IS NOT NULL) AS observed, count(*) FILTER (e AND d = 'reject') AS reject, count(*) FILTER (e AND d = 'review') AS review,

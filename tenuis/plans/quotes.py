@@ -79,13 +79,13 @@ def discovery_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 def retry_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage rows of the run that each customer's results come from: primary, or retry where it repaired or found more.
-    Each customer's balance tells whether there was a retry, the priority of the orders which are claims of it."""
+    The retry was not run for low balances; a customer's orders are claims of it."""
     k = F.col("c_custkey")
-    customers = t.table(spark, sf, "customer").select(F.concat(F.lit("cust-"), k).alias("candidate_id"), k, (F.col("c_acctbal") > 3000).alias("retried"))
-    claims = t.table(spark, sf, "orders").select(F.concat(F.lit("cust-"), "o_custkey").alias("candidate_id"), (F.col("o_totalprice") > 300_000).alias("of_retry"))
+    customers = t.table(spark, sf, "customer").select(F.concat(F.lit("cust-"), k).alias("candidate_id"), k, "c_acctbal")
+    claims = t.table(spark, sf, "orders").select(F.concat(F.lit("cust-"), "o_custkey").alias("candidate_id"))
     primary = customers.select("candidate_id", F.when(k % 4 == 0, "failed").otherwise("complete").alias("status"), k.alias("rows"))
-    retry = customers.where("retried").select("candidate_id", F.when(k % 3 == 0, "failed").otherwise("complete").alias("status"), (k + 1000).alias("rows"))
-    return ev.merged_rows(ev.retry_source(primary, retry, claims.where("of_retry")), primary, retry)
+    retry = customers.select("candidate_id", F.when(F.col("c_acctbal") <= 3000, "not_run").when(k % 3 == 0, "failed").otherwise("complete").alias("status"), (k + 1000).alias("rows"))
+    return ev.merged_rows(ev.retry_source(primary, retry, claims), primary, retry)
 
 
 QUERIES = {name: globals()[name] for name in ("checked_claims", "discovery_claims", "discovery_coverage", "discovery_issues", "retry_rows")}
@@ -121,6 +121,6 @@ UNION ALL SELECT batch_id, g, d, 'missing_document' FROM asked JOIN b USING (bat
 UNION ALL SELECT batch_id, g, 'lost', 'unknown_document' FROM rec JOIN b USING (batch_id, c), range(times) WHERE valid AND rd = 'lost'
 UNION ALL SELECT batch_id, g, d, 'duplicate_document' FROM rec JOIN b USING (batch_id, c) WHERE valid AND rd = d AND times = 2""",
     "retry_rows": """WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'complete' END AS ps, c_acctbal > 3000 AS retried, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'complete' END AS rs,
- c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS h FROM customer), u AS (SELECT *, retried AND rs = 'complete' AND (h OR ps = 'failed') AS u FROM p)
+ c_custkey IN (SELECT o_custkey FROM orders) AS h FROM customer), u AS (SELECT *, retried AND rs = 'complete' AND (h OR ps = 'failed') AS u FROM p)
 SELECT 'cust-' || k AS candidate_id, CASE WHEN u THEN rs ELSE ps END AS status, CASE WHEN u THEN k + 1000 ELSE k END AS rows, CASE WHEN u THEN 'retry' ELSE 'primary' END AS run FROM u""",
 }

@@ -191,12 +191,15 @@ def source_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_web_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Longest excerpt per candidate and canonical address of eligible web results."""
+    """Longest excerpt per candidate and canonical address of the web results that the policy takes; hosts as in source_policy."""
+    n = F.col("page_id")
+    known = t.pick(["arxiv.org", "blog.nvidia.com", "www.prnewswire.com", "someone.medium.com", "www.nature.com"], n % 5)
+    url = F.when(n % 4 == 0, F.concat(F.lit("https://"), known, F.lit("/articles/"), F.floor(n / 100))).otherwise(F.col("url"))
     rows = t.table(spark, sf, "pages").select(
-        F.concat(F.lit("cand-"), F.col("page_id") % 7).alias("candidate_id"), F.concat(F.lit("page-"), "page_id").alias("document_id"),
-        F.lower(F.regexp_replace(urls.host(F.col("url")), r"^(www|m|blog)\.", "")).alias("address"), F.length("html").alias("excerpt_length"),
+        F.concat(F.lit("cand-"), n % 7).alias("candidate_id"), F.concat(F.lit("page-"), n).alias("document_id"), urls.canonical_url(url).alias("address"), F.length("html").alias("excerpt_length"),
     )
-    return first_row(rows, ["candidate_id", "address"], [F.col("excerpt_length").desc(), F.col("document_id").asc()])
+    taken = rows.where(F.col("address").isNotNull() & urls.source_policy(F.col("address"))["eligible"]).withColumn("address", F.lower("address"))
+    return first_row(taken, ["candidate_id", "address"], [F.col("excerpt_length").desc(), F.col("document_id").asc()])
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,8 +322,10 @@ SELECT page_id, {_url('url')} AS canonical, {_url('u2')} AS variant FROM v""",
     "source_policy": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN page_id % 5 IN (1, 2, 3) ELSE true END AS eligible,
  CASE WHEN page_id % 4 <> 0 THEN 'industry_media' ELSE (['scientific_publication','company_technical','press_release','social_or_blog','scientific_publication'])[page_id % 5 + 1] END AS source_type,
  CASE WHEN page_id % 4 <> 0 THEN 'web_news_or_trade_source' ELSE (['academic_domain','company_domain','press_release_domain','social_or_blog_domain','journal_article_path'])[page_id % 5 + 1] END AS reason FROM pages""",
-    "best_web_copies": _PAGES + """SELECT 'cand-' || (page_id % 7) AS candidate_id, 'page-' || page_id AS document_id, regexp_replace(h, '^(www|m|blog)\\.', '') AS address, length(html) AS excerpt_length FROM p
- QUALIFY row_number() OVER (PARTITION BY page_id % 7, regexp_replace(h, '^(www|m|blog)\\.', '') ORDER BY length(html) DESC, 'page-' || page_id) = 1""",
+    "best_web_copies": f"""WITH raw AS (SELECT page_id, length(html) AS excerpt_length, CASE WHEN page_id % 4 = 0
+ THEN 'https://' || (['arxiv.org','blog.nvidia.com','www.prnewswire.com','someone.medium.com','www.nature.com'])[page_id % 5 + 1] || '/articles/' || CAST(floor(page_id / 100) AS BIGINT) ELSE url END AS u FROM pages),
+w AS (SELECT 'cand-' || (page_id % 7) AS candidate_id, 'page-' || page_id AS document_id, lower({_url('u')}) AS address, excerpt_length FROM raw WHERE page_id % 4 <> 0 OR page_id % 5 IN (1, 2, 3))
+SELECT * FROM w WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION BY candidate_id, address ORDER BY excerpt_length DESC, document_id) = 1""",
     "page_fetch_issues": """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'existing_excerpt' WHEN page_id % 8 = 0 THEN 'not_fetched' WHEN page_id % 7 = 0 THEN 'http_error'
  WHEN strlen(html) * CASE WHEN page_id % 11 = 0 THEN 1000 ELSE 1 END > 2000000 THEN 'too_large' WHEN page_id % 5 = 0 THEN 'not_html' END AS issue,
  coalesce(nullif(lower(regexp_extract(substr(html, 1, 4096), '(?i)charset\\s*=\\s*[''"]?([a-zA-Z0-9._-]+)', 1)), ''), 'utf-8') AS charset FROM pages""",

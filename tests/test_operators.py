@@ -143,6 +143,8 @@ def test_adoption_names_of_a_term(spark):
         ("a deployed network of edge chips", "edge chips", False), ("used a b c d e f edge chips", "edge chips", True),
         ("used a b c d e f g edge chips", "edge chips", False), ("edge chips grew and its market uptake rose", "edge chips", True),
         ("edge chips play a critical role in modern life", "edge chips", True), ("anything deployed", "()", False),
+        ("The deployment platform is blue.", "deployment platform", True), ("the blue platform", "blue platform", False), ("a platform for deployment systems", "platform systems", False),
+        ("it is widely used pumps", "used pumps", True), ("blue adopted pump", "pump adopted", False), ("the pump adoption index", "pump adoption", True),
     ]
     got = spark.createDataFrame(rows, "q string, t string, want boolean").select("want", ev.adoption_stated(F.col("q"), F.col("t"))).collect()
     assert [g[1] for g in got] == [g[0] for g in got]
