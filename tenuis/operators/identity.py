@@ -20,29 +20,37 @@ def _forms(names: DataFrame, side: str) -> DataFrame:
     ).withColumnRenamed("form", f"{side}_form")
 
 
-def _prefixes(forms: DataFrame, column: str, weights: DataFrame) -> DataFrame:
-    """Rarest words of a form for every size its partner may have.
+def _word_pairs(forms: DataFrame, column: str, weights: DataFrame, generic: Sequence[str]) -> DataFrame:
+    """Pairs of the rarest specific words of a form, for every size its partner may have.
 
-    Jaccard of at least one half between sizes a and b needs ceil((a + b) / 3) common words, so
-    two such forms share one of the a - ceil((a + b) / 3) + 1 rarest words of each.
+    Jaccard of at least one half between sizes a and b needs t = ceil((a + b) / 3) common words, of which all but the
+    form's own generic ones are specific, and at least two. The two rarest of the common specific words are then among the
+    first s - m + 2 of a form's s specific words, where m is the larger of 2 and t less its generic words.
     """
     tokens = forms.select(column, F.explode(F.array_distinct(tx.words(F.col(column)))).alias("token"))
-    order = W.partitionBy(column).orderBy(F.col("weight").asc(), F.col("token").asc())
-    ranked = tokens.join(weights, "token").withColumns(
-        {"own": F.count(F.lit(1)).over(W.partitionBy(column)).cast("int"), "place": F.row_number().over(order)}
+    own = tokens.join(weights, "token").groupBy(column).agg(
+        F.sort_array(F.collect_list(F.when(~F.col("token").isin(list(generic)), F.struct("weight", "token")))).alias("w"), F.count(F.lit(1)).cast("int").alias("own")
     )
-    sized = ranked.select(
-        column, "token", "own", "place", F.explode(F.sequence(F.ceil(F.col("own") / 2).cast("int"), F.col("own") * 2)).alias("other")
+    words = own.select(column, "own", F.transform("w", lambda x: x["token"]).alias("words"))
+    sized = words.select(
+        column, "own", "words", F.explode(F.sequence(F.ceil(F.col("own") / 2).cast("int"), F.col("own") * 2)).alias("other")
+    )
+    needed = F.greatest(F.lit(2), F.ceil((F.col("own") + F.col("other")) / 3).cast("int") - (F.col("own") - F.size("words")))
+    head = sized.where(F.size("words") >= needed).withColumn("head", F.slice("words", F.lit(1), F.size("words") - needed + 2))
+    second = F.explode(F.sequence(F.lit(2), F.size("head"))).alias("second")
+    first = head.select(column, "own", "other", "words", "head", second)
+    return first.select(
+        column, "own", "other", "words", F.explode(F.transform(F.slice("head", F.lit(1), F.col("second") - 1), lambda w: F.concat(w, F.lit(" "), F.element_at("head", F.col("second"))))).alias("pair")
     )
-    return sized.where(F.col("place") <= F.col("own") - F.ceil((F.col("own") + F.col("other")) / 3) + 1).drop("place")
 
 
 def form_suggestions(left: DataFrame, right: DataFrame, generic: Sequence[str] = GENERIC_WORDS) -> DataFrame:
     """Pairs of normalized forms that are equal, share half of their words (two of them not
     generic), or contain each other.
 
-    Equal forms meet by equality, overlapping forms on a rare word, and containment uses the rarest five-letter piece of the shorter form. Candidates with equal forms are
-    counted, not multiplied out.
+    Equal forms meet by equality, overlapping forms on the two rarest of their common specific words, where their overlap is
+    checked at once, so that each pair is made once; containment uses the rarest five-letter piece of the shorter form.
+    Candidates with equal forms are counted, not multiplied out.
     """
     lf, rf = _forms(left, "left"), _forms(right, "right")
     exact = lf.join(rf, F.col("left_form") == F.col("right_form")).select("left_form", "right_form")
@@ -53,9 +61,11 @@ def form_suggestions(left: DataFrame, right: DataFrame, generic: Sequence[str] =
     weights = every.select(F.explode(F.array_distinct(tx.words(F.col("form")))).alias("token")).groupBy(
         "token"
     ).agg(F.count(F.lit(1)).alias("weight"))
-    lt = _prefixes(lf, "left_form", weights).withColumnsRenamed({"own": "ln", "other": "rn"})
-    rt = _prefixes(rf, "right_form", weights).withColumnsRenamed({"own": "rn", "other": "ln"})
-    overlap = lt.join(rt, ["token", "ln", "rn"]).select("left_form", "right_form")
+    lt = _word_pairs(lf, "left_form", weights, generic).withColumnsRenamed({"own": "ln", "other": "rn", "words": "lw"})
+    rt = _word_pairs(rf, "right_form", weights, generic).withColumnsRenamed({"own": "rn", "other": "ln", "words": "rw"})
+    both = F.array_intersect("lw", "rw")
+    rarest = F.concat(F.get(both, F.lit(0)), F.lit(" "), F.get(both, F.lit(1))) == F.col("pair")
+    overlap = lt.join(rt, ["pair", "ln", "rn"]).where((F.size(both) >= 2) & rarest).select("left_form", "right_form")
 
     contained = _contained(lf, "left_form", rf, "right_form").unionByName(
         _contained(rf, "right_form", lf, "left_form")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tenuis.functions import text as tx
 from tenuis.operators import entities as ent
 from tenuis.operators import labeling as lab
+from tenuis.operators.evidence import CUE_GROUPS
 from tenuis.operators.ranking import trust_rank
 from tenuis.plans import entities as pe
 from tenuis.plans import relevance as pr
@@ -349,6 +350,21 @@ SELECT slot_id, c.domain, c.group_id, g.domain AS group_domain, CASE WHEN count(
     "noise_urls": "SELECT 'noise-' || o_custkey AS noise_id, 'https://p.example/' || min(l_partkey) AS url FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45 GROUP BY o_custkey",
     "noise_controls": """WITH n AS (SELECT lower(p_name || ' ' || p_brand) AS k, 'part-' || p_partkey AS id FROM part), c AS (SELECT 'noise-' || p_partkey AS noise_id, lower(p_name || ' ' || p_brand || CASE WHEN p_size < 5 THEN ' ' || p_type ELSE '' END) AS k FROM part)
 SELECT noise_id, count(id) AS matches, CASE WHEN count(id) = 1 THEN min(id) END AS proposal_id FROM c LEFT JOIN n USING (k) GROUP BY 1""",
+    "evidence_budget": t.BASE_SQL + """, d AS (SELECT candidate_id AS group_id, document_id, origin_id, excerpt_length, connector = 'mediacloud' AS news, CASE trust_tier WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'C' THEN 2 WHEN 'D' THEN 3 ELSE 4 END AS tr,
+ CASE WHEN trust_tier = 'D' THEN 'generated_text' WHEN connector = 'mediacloud' AND excerpt_length <= 500 THEN 'news_text_unavailable' WHEN excerpt_length = 0 THEN 'no_source_text' END AS issue FROM ranked),
+ch AS (SELECT * FROM d WHERE issue IS NULL QUALIFY row_number() OVER (PARTITION BY group_id, origin_id ORDER BY news, excerpt_length DESC, document_id) = 1),
+tu AS (SELECT *, row_number() OVER (PARTITION BY group_id, news ORDER BY tr, excerpt_length DESC, document_id) AS turn FROM ch QUALIFY turn <= 6),
+ba AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY turn, news) AS place FROM tu QUALIFY place <= 6),
+hd AS (SELECT group_id, document_id, row_number() OVER (ORDER BY place, group_id) AS budget_rank FROM ba QUALIFY budget_rank <= 60)
+SELECT d.group_id, d.document_id, CASE WHEN d.issue IS NOT NULL THEN d.issue WHEN budget_rank IS NOT NULL THEN 'selected' WHEN ch.document_id IS NOT NULL THEN 'budget' ELSE 'same_origin' END AS status, budget_rank
+ FROM d LEFT JOIN ch USING (group_id, document_id) LEFT JOIN hd USING (group_id, document_id)""",
+    "maturity_queue": t.BASE_SQL + """, x AS (SELECT r.candidate_id, r.document_id, r.origin_id, r.score, r.trust_tier, r.published_at, d.title || chr(10) || d.excerpt || ' ' || concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN 'widely used' END,
+ CASE WHEN doc_id % 3 = 0 THEN 'market vendors' END, CASE WHEN doc_id % 5 = 0 THEN 'in production use, standardized' END) AS txt FROM ranked r JOIN docs d USING (document_id) WHERE r.connector = 'openalex' AND r.relevance_class IN ('strong', 'weak')),
+c AS (SELECT *, list_filter([""" + ", ".join(f"CASE WHEN regexp_matches(txt, '{pattern}') THEN '{name}' END" for name, pattern in CUE_GROUPS.items()) + """], lambda n: n IS NOT NULL) AS found FROM x),
+m AS (SELECT *, score + 15 * len(found) AS maturity_score FROM c WHERE len(found) > 0),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY candidate_id, origin_id ORDER BY maturity_score DESC, trust_tier <> 'A', published_at NULLS LAST, document_id) = 1)
+SELECT candidate_id, document_id, maturity_score, row_number() OVER (PARTITION BY candidate_id ORDER BY maturity_score DESC, trust_tier <> 'A', published_at NULLS LAST, document_id) AS selection_rank, array_to_string(found, ',') AS cues
+ FROM o QUALIFY selection_rank <= 4""",
     "noise_report": """WITH r AS (SELECT p_size > 10 AS e, CASE WHEN p_partkey % 7 <> 0 THEN (['reject','review','accept','reject'])[p_partkey % 4 + 1] END AS d, p_partkey % 9 <> 0 AS c FROM part),
 a AS (SELECT count(*) AS controls, count(*) FILTER (e) AS expected, count(*) FILTER (e AND d IS NOT NULL) AS observed, count(*) FILTER (e AND d = 'reject') AS reject, count(*) FILTER (e AND d = 'review') AS review,
  count(*) FILTER (e AND d = 'accept') AS accept, count(*) FILTER (c) AS contained_controls FROM r)

@@ -251,7 +251,8 @@ def taxonomy_pick(spark: SparkSession, sf: str) -> DataFrame:
     parts = t.table(spark, sf, "part")
     names = parts.groupBy("p_name").agg(F.count(F.lit(1)).alias("works_count"))
     queries = parts.select(F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 25, "research")).alias("query"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    pairs = queries.join(names, F.startswith(names["p_name"], F.concat(queries["w"], F.lit(" "))))
+    named = names.where(F.contains("p_name", F.lit(" "))).withColumn("w", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    pairs = queries.join(named, "w")
     scored = taxonomy_scores(pairs, F.col("query"), F.col("p_name"))
     order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("works_count").desc(), F.col("p_name"))
     best = scored.withColumns({"runner_up": F.lead("score").over(order), "place": F.row_number().over(order)}).where(F.col("place") == 1)
@@ -331,5 +332,17 @@ SELECT * FROM w WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION B
  coalesce(nullif(lower(regexp_extract(substr(html, 1, 4096), '(?i)charset\\s*=\\s*[''"]?([a-zA-Z0-9._-]+)', 1)), ''), 'utf-8') AS charset FROM pages""",
     "dois": """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 THEN '10.5555/part(a)+' || p_partkey END AS doi,
  CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 THEN 'https://doi.org/10.5555/part(a)%2B' || p_partkey END AS doi_url FROM part""",
+    "crossref_documents": """WITH c AS (SELECT doc_id, source, lang, 'snap-' || CAST(floor(doc_id / 25) AS BIGINT) AS snapshot_id, '10.1234/z-' || doc_id AS doi, CASE WHEN doc_id % 14 < 12 THEN make_date(CAST(2020 + doc_id % 9 AS BIGINT), CAST(doc_id % 14 + 1 AS BIGINT), 3) END AS published_at,
+ trim(regexp_replace(split_part(text, chr(10), 1) || ' & more', '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 14 < 12)
+SELECT 'document-crossref-' || substr(sha256(snapshot_id || '|crossref|' || doi), 1, 16) AS document_id, doi AS external_id, title, 'https://doi.org/' || doi AS url, 'https://doi.org/' || doi AS canonical_url,
+ (['standard','analytical_report','scientific_publication','other'])[doc_id % 4 + 1] AS source_type, lang AS language, (['A','B','A','unknown'])[doc_id % 4 + 1] AS trust_tier, 'doi:' || doi AS origin_id, published_at, 'House ' || source AS publisher,
+ 'Ada ' || source AS authors, 'Lab ' || lang AS organizations FROM c WHERE published_at <= DATE '2026-09-15'""",
+    "taxonomy_pick": """WITH n AS (SELECT p_name, count(*) AS works FROM part GROUP BY 1),
+q AS (SELECT DISTINCT p_name || CASE WHEN p_size > 25 THEN ' research' ELSE '' END AS query, split_part(p_name, ' ', 1) AS w FROM part),
+words AS (SELECT q.query, n.p_name, works, list_distinct(list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]+'), lambda x: x <> 'research')) AS qw, list_distinct(regexp_extract_all(lower(n.p_name), '[a-z0-9]+')) AS cw
+ FROM q JOIN n ON contains(n.p_name, ' ') AND split_part(n.p_name, ' ', 1) = w),
+s AS (SELECT query, p_name, works, CASE WHEN len(qw) = 0 OR NOT list_has_all(cw, qw) THEN 0.0 WHEN len(qw) = len(cw) THEN 1.0 ELSE 0.75 + 0.25 * len(qw) / len(cw) END AS score FROM words),
+r AS (SELECT *, lead(score) OVER o AS second, row_number() OVER o AS place FROM s WINDOW o AS (PARTITION BY query ORDER BY score DESC, works DESC, p_name))
+SELECT query, p_name, CAST(score AS DOUBLE) AS score FROM r WHERE place = 1 AND score >= 0.82 AND (second IS NULL OR score - second >= 0.03)""",
     "taxonomy_match": "SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN 0.875 ELSE 1.0 END AS score FROM part",
 }
