@@ -10,7 +10,8 @@ FAST = [
     "relevance_scores", "best_document_copies", "evidence_documents", "openalex_documents", "mediacloud_issues", "canonical_urls",
     "candidate_proposals", "gate_batch", "acronym_suggestions", "echo_links", "identity_groups", "identity_suggestions", "feature_table",
     "gate_decisions", "groundings", "term_support", "evidence_summary", "queue_filled", "noise_filled", "rubric_audit", "final_decisions",
-    "rubric_violations", "nested_documents", "table_digest",
+    "rubric_violations", "nested_documents", "table_digest", "enrichment_rows", "merged_documents", "checked_claims", "discovery_issues",
+    "duplicate_overflow", "grounded_proposals", "dangling_decisions", "broken_evidence_input", "model_compatibility",
 ]
 
 
