@@ -25,8 +25,11 @@ from tenuis.llm.common import lists, share, with_text_columns
 from tenuis.llm.pieces import VOCABULARY, Vocabulary, chunks, covered, matcher
 
 BEST = 4
-#: Distinct chunks in each of the two generations that a worker remembers; chunks in use move to the younger one.
-CACHE = 300_000
+#: Bytes of each of the two generations of chunks that a worker remembers (chunks in use move to the younger one), and of
+#: the searched chunks. Chunks over LONGEST characters are not remembered.
+CACHE_BYTES = 72 << 20
+SEARCHED_BYTES = 24 << 20
+LONGEST = 64
 _LOW = float("-inf")
 
 
@@ -37,6 +40,7 @@ class Segmenter:
         self.cache: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.held = self.searched_held = 0
 
     def viterbi(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best segmentation, and what the second one loses against it."""
@@ -144,12 +148,25 @@ class Segmenter:
 
     def _recall(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         hit = self.cache.get(chunk) or self.older.get(chunk) or self.viterbi(chunk)
-        if len(self.cache) >= CACHE:
-            self.older, self.cache = self.cache, {}
-            self.searched.clear()
-        self.cache[chunk] = hit
+        if len(chunk) <= LONGEST:
+            if self.held >= CACHE_BYTES:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            if chunk not in self.cache:
+                self.held += 350 + len(chunk) + 8 * len(hit[0])
+            self.cache[chunk] = hit
         return hit
 
+    def _options(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        options = self.searched.get(chunk)
+        if options is None:
+            options = self.search(chunk, self.best)
+            if len(chunk) <= LONGEST:
+                if self.searched_held >= SEARCHED_BYTES:
+                    self.searched, self.searched_held = {}, 0
+                self.searched_held += 200 + len(chunk) + sum(130 + 8 * len(ids) for _, ids in options)
+                self.searched[chunk] = options
+        return options
+
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation, and for each further one its score and edits (at, count, ids)."""
         parts = chunks(" " + text)
@@ -160,14 +177,12 @@ class Segmenter:
         total = sum([hit[1] for hit in found])
         costs = [hit[2] for hit in found]
         chosen = sorted(place for _, place in heapq.nsmallest(self.best - 1, zip(costs, range(len(parts)), strict=True)))
+        chosen_options: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for place in chosen:
             if costs[place] == float("inf"):
                 continue
-            part = parts[place]
-            options = self.searched.get(part)
-            if options is None:
-                options = self.searched[part] = self.search(part, self.best)
+            options = chosen_options[place] = self._options(parts[place])
             top = options[0][0]
             # A choice is kept as a negative place, so that at equal cost the earlier change comes first.
             more = [
@@ -181,7 +196,7 @@ class Segmenter:
         if len(sums) > 1:
             starts = [0, *itertools.accumulate([len(hit[0]) for hit in found])]
             for loss, picks in sums[1:]:
-                edits = [(starts[-p], len(found[-p][0]), self.searched[parts[-p]][n][1]) for p, n in picks]
+                edits = [(starts[-p], len(found[-p][0]), chosen_options[-p][n][1]) for p, n in picks]
                 others.append((total - loss, edits))
         return ids, total, others
 

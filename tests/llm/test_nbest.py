@@ -66,3 +66,17 @@ def test_rows(spark):
     assert [r["doc_id"] for r in got] == [1, 2, 3, 3, None, 5] and got[0]["ids"] is None and got[0]["n_pieces"] is None
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got[1:])
     assert nbest.segmented(docs.where("false")).count() == 0
+
+
+def test_memory_is_bounded_in_bytes_and_changes_nothing(vocabulary, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(40)) + " " + "x" * 200 for _ in range(60)]
+    free = nbest.Segmenter(vocabulary)
+    want = [free.encode(t) for t in texts]
+    monkeypatch.setattr(nbest, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(nbest, "SEARCHED_BYTES", 5_000)
+    small = nbest.Segmenter(vocabulary)
+    for text, expected in zip(texts, want, strict=True):
+        assert small.encode(text) == expected
+        assert small.held < 21_000 and small.searched_held < 7_000 and len(small.older) < 100
+    assert max(map(len, small.cache)) <= nbest.LONGEST
