@@ -123,13 +123,18 @@ def fitted(sample: np.ndarray, rows: int, nearest: int = NEAREST, trees: int = T
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """id and v of the rows that take part. v is the vector by a power of two that brings its largest component near one:
+    no digit and no cosine changes, and no square overflows or vanishes."""
     value = F.col(vector).cast("array<double>")
     good = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (
+    rows = (
         table.select(F.col(key).cast("long").alias("id"), value.alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & good)
         .where(F.exists("v", lambda x: x != 0))
     )
+    power = F.least(F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x))))), F.lit(1022))
+    scaled = rows.withColumn("_scale", F.pow(F.lit(2.0), power.cast("double")))
+    return scaled.select("id", F.transform("v", lambda x: x / F.col("_scale")).alias("v"))
 
 
 def _matrix(column: pa.ListArray, size: int) -> np.ndarray:

@@ -50,6 +50,20 @@ def test_bad_vectors_copies_and_ties(spark):
     assert neighbours.report(table.where("vec_id = 0")).count() == 0
 
 
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((12, 3))
+    factors = [2.0**1000, 2.0**-1000, 1.0, 2.0**600, 2.0**-600, 2.0**-1030]
+    rows = [(i * 50, [float(x) * factors[i % 6] for x in v]) for i, v in enumerate(base)]
+    got = found(neighbours.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    plain = brute([(i * 50, v.tolist()) for i, v in enumerate(base)], [i * 50 for i in range(12)])
+    for q, want in plain.items():
+        assert [j for j, _ in got[q]] == [j for j, _ in want] and len(got[q]) == 5
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-6)
+    two = spark.createDataFrame([(0, [1.7976931348623157e308, 1.7e308]), (1, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 3)) for r in neighbours.report(two).collect()] == [(1, 0.727)]
+
+
 def test_queue_opens_leaves_in_falling_priority():
     rng = np.random.default_rng(2)
     sample = rng.standard_normal((500, 8))
