@@ -1,8 +1,15 @@
 """The corpus pipeline: language, near copies, benchmark passages, personal data, segmentation.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all but
-the last return the columns of `documents`. Rows are dropped for three reasons only: no learned language fits the
-text, a document with a smaller id is linked to it by near copies, or a benchmark window occurs in it.
+the last return the columns of `documents`, with any further columns as they are. Rows are dropped for three reasons
+only: no learned language gets a posterior of language.LEAST_SCORE, a document with a smaller id is linked to it by near
+copies, or a benchmark window occurs in it. The posterior is one among the learned languages: it rejects texts without
+letters and very short texts that fit several languages, not long texts of a language that was never learned.
+
+Nulls and repeats: a null, empty or letterless text is dropped by the first stage; rows without an id are never near copies
+of others and stay; of repeated rows of one id the near-copy stage keeps the first by text; personal data and segments of a
+null text are null. Equal texts are near copies, of which the smallest id stays. Texts of any length are read whole. Empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from tenuis.session import cut_lineage
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose text is null, has no letter, or fits no learned language."""
+    """Drops rows whose text is null, has no letter, or gets no posterior of language.LEAST_SCORE among the learned languages."""
     return language.with_known_language(docs, language.fit(docs))
 
 
