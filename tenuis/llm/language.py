@@ -6,7 +6,9 @@ it. The lattice falls apart at chunks, so a text's log-probability is the sum ov
 once per worker for all languages together.
 
 The probabilities are learned by expectation-maximisation from at most `DOCS_PER_LANGUAGE` labelled documents of each
-language, drawn by a hash of their ids. That bound is the only sample; every document is scored over its whole text.
+language, drawn by a hash of their ids. That bound is the only sample of documents; of the
+drawn ones, chunks over `LONG` characters teach nothing, so a language written without spaces learns little, and one with long chunks
+only is never predicted. Every document is scored over its whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled document all are;
 equal probabilities go to the first language in order; documents without an id or a language teach nothing; repeated
