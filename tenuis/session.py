@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -57,10 +56,3 @@ def stored(df: DataFrame, name: str = "table", compression: str = "zstd") -> Dat
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more. It does so only when the driver
-    collects its garbage, which on a large heap may be long after; jobs with several large steps call this between them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
