@@ -1,30 +1,7 @@
-"""Token-window measures and ordered score ladders."""
+"""Token-window measures."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def apply_ladder(
-    df: DataFrame,
-    steps: Sequence[tuple[Column, int, str]],
-    otherwise_score: Column,
-    otherwise_reason: str,
-) -> DataFrame:
-    """Score and reason of the first step that holds."""
-    score, reason = None, None
-    for condition, points, name in steps:
-        score = F.when(condition, points) if score is None else score.when(condition, points)
-        reason = F.when(condition, name) if reason is None else reason.when(condition, name)
-    return df.withColumns(
-        {"score": score.otherwise(otherwise_score), "reason": reason.otherwise(otherwise_reason)}
-    )
-
 
 def narrowest_span(text: str, wanted: set[str]) -> int | None:
     """Length in words of the shortest stretch that holds every wanted word."""
@@ -38,14 +15,3 @@ def narrowest_span(text: str, wanted: set[str]) -> int | None:
             span = position - min(last_seen.values()) + 1
             best = span if best is None else min(best, span)
     return best
-
-
-@F.pandas_udf(T.IntegerType())
-def window_width(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Narrowest word span covering all tokens; null text (row not measured) gives null."""
-    widths = [
-        narrowest_span(text, set(wanted)) if text is not None and wanted is not None and len(wanted)
-        else None
-        for text, wanted in zip(texts, tokens, strict=True)
-    ]
-    return pd.Series(widths, dtype="Int32")

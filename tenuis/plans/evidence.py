@@ -11,6 +11,7 @@ from tenuis.operators import relevance as rel
 from tenuis.operators import selection as sel
 from tenuis.plans import relevance as pr
 from tenuis.plans import tables as t
+from tenuis.session import stored
 
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +121,7 @@ def mention_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     rows = pr.scored(spark, sf).where(F.col("relevance_class") != "none").select("candidate_id", "document_id", "term")
-    texts = t.documents(spark, sf).select("document_id", "excerpt")
+    texts = t.texts(spark, sf)
     return ev.cut_passages(ev.passages(rows, texts), texts).withColumn("passage", F.sha2("passage", 256))
 
 
@@ -148,7 +149,7 @@ def cued_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def maturity_passages(spark: SparkSession, sf: str) -> DataFrame:
-    docs = cued_documents(spark, sf)
+    docs = stored(cued_documents(spark, sf), "documents")
     links = docs.select(F.lit("cand-0").alias("candidate_id"), "document_id", "term").where(F.col("term") != "")
     return ev.maturity_passages(links, docs.select("document_id", "excerpt"))
 
@@ -157,8 +158,8 @@ def evidence_tasks(spark: SparkSession, sf: str) -> DataFrame:
     rows = pr.kept(spark, sf).where(F.col("relevance_class") != "none").withColumn(
         "source_class", F.when(F.col("connector") == "openalex", "scientific").otherwise("industry")
     )
-    chosen = sel.evidence_documents(rows)
-    spans = ev.passages(chosen.select("candidate_id", "document_id", "term"), t.documents(spark, sf).select("document_id", "excerpt"))
+    chosen = stored(sel.evidence_documents(rows).select("candidate_id", "document_id", "term"), "chosen")
+    spans = ev.passages(chosen.select("candidate_id", "document_id", "term"), t.texts(spark, sf))
     return ev.evidence_tasks(chosen.select("candidate_id", "document_id"), spans)
 
 
