@@ -175,13 +175,14 @@ def source_issue(generated: Column, connector: Column, news_status: Column, exce
     )
 
 
-def maturity_queue(ranked: DataFrame, k: int = 4) -> DataFrame:
-    """Strong or weak publications with maturity cues, 15 points per cue, one per origin."""
+def maturity_queue(ranked: DataFrame, documents: DataFrame, k: int = 4) -> DataFrame:
+    """Strong or weak publications with maturity cues, 15 points per cue, one per origin.
+
+    Cues are looked up once per document, and links meet the cues instead of the texts."""
     cues = maturity_cues(F.concat_ws("\n", "title", "excerpt"))
-    rows = ranked.where(
-        (F.col("connector") == "openalex") & F.col("relevance_class").isin("strong", "weak") & (F.trim("excerpt") != "")
-    ).withColumn("cues", cues)
-    rows = rows.where(F.size("cues") > 0).withColumn("maturity_score", F.col("score") + 15 * F.size("cues")).drop("excerpt", "title")
+    cued = documents.where(F.trim("excerpt") != "").select("document_id", cues.alias("cues")).where(F.size("cues") > 0)
+    rows = ranked.where((F.col("connector") == "openalex") & F.col("relevance_class").isin("strong", "weak")).join(cued, "document_id")
+    rows = rows.withColumn("maturity_score", F.col("score") + 15 * F.size("cues"))
     order = [
         F.col("maturity_score").desc(), (F.col("trust_tier") != "A").asc(), F.col("published_at").asc_nulls_last(), F.col("document_id").asc(),
     ]

@@ -148,8 +148,7 @@ def maturity_queue(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
     tail = F.concat_ws(" ", F.when(n % 2 == 0, "widely used"), F.when(n % 3 == 0, "market vendors"), F.when(n % 5 == 0, "in production use, standardized"))
     docs = t.documents(spark, sf).select("document_id", "title", F.concat_ws(" ", "excerpt", tail).alias("excerpt"))
-    rows = pr.ranked(spark, sf).join(docs, "document_id")
-    return lab.maturity_queue(rows).select("candidate_id", "document_id", "maturity_score", "selection_rank", F.concat_ws(",", "cues").alias("cues"))
+    return lab.maturity_queue(pr.ranked(spark, sf), docs).select("candidate_id", "document_id", "maturity_score", "selection_rank", F.concat_ws(",", "cues").alias("cues"))
 
 
 def publicity_input(spark: SparkSession, sf: str) -> DataFrame:

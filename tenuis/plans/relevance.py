@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenuis.operators import relevance as rel
 from tenuis.operators import selection as sel
 from tenuis.plans import tables as t
+from tenuis.session import stored
 
 PLAN_CYCLE = ("previous", "recent", "unknown_date")
 EVIDENCE_CYCLE = ("recent", "previous", "unknown_date")
@@ -17,18 +18,19 @@ _DOC_COLUMNS = (
 )
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    docs, cands = t.documents(spark, sf), t.candidates(spark, sf)
+def scored(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = t.stored_documents(spark, sf) if docs is None else docs
+    cands = t.candidates(spark, sf)
     return rel.score_links(t.links(spark, sf, docs, cands), docs, rel.term_rows(cands))
 
 
-def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t.documents(spark, sf).select(*_DOC_COLUMNS)
-    return scored(spark, sf).join(docs, "document_id")
+def ranked(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = t.stored_documents(spark, sf) if docs is None else docs
+    return scored(spark, sf, docs).join(docs.select(*_DOC_COLUMNS), "document_id")
 
 
-def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.best_copy(ranked(spark, sf))
+def kept(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    return rel.best_copy(ranked(spark, sf, docs))
 
 
 def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +49,7 @@ def best_document_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dropped_document_copies(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranked(spark, sf)
+    rows = stored(ranked(spark, sf).select("candidate_id", "score", *_DOC_COLUMNS), "ranked")
     return rel.dropped_copies(rows, rel.best_copy(rows))
 
 
@@ -70,15 +72,15 @@ def media_fetch_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relevance_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranked(spark, sf)
-    best = rel.best_copy(rows)
+    rows = stored(ranked(spark, sf).select("candidate_id", "score", "relevance_class", *_DOC_COLUMNS), "ranked")
+    best = stored(rel.best_copy(rows), "kept")
     science = sel.science_shortlist(best, PLAN_CYCLE)
     media = sel.media_fetch_queue(best, PLAN_CYCLE)
     return rel.relevance_coverage(t.candidates(spark, sf), rows, best, science, media)
 
 
 def media_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs, cands = t.documents(spark, sf), t.candidates(spark, sf)
+    docs, cands = t.stored_documents(spark, sf), t.candidates(spark, sf)
     news = docs.where(F.col("connector") == "mediacloud")
     rows = rel.score_media(t.links(spark, sf, news, cands), news, rel.term_rows(cands))
     return rel.media_admission(rows).select(
@@ -88,9 +90,9 @@ def media_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def science_admission(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t.documents(spark, sf)
-    rows = kept(spark, sf).where((F.col("connector") == "openalex") & (F.col("excerpt_length") > 0))
-    return rel.science_admission(rows, docs).select(
+    docs = t.stored_documents(spark, sf)
+    rows = kept(spark, sf, docs).where((F.col("connector") == "openalex") & (F.col("excerpt_length") > 0))
+    return rel.science_admission(stored(rows, "kept"), docs).select(
         "candidate_id", "document_id", "score", "relevance_class", "title_matches",
         "excerpt_window", "admitted", "exclusion",
     )
@@ -98,8 +100,8 @@ def science_admission(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_input(spark: SparkSession, sf: str) -> DataFrame:
     """Admitted science, then admitted media up to the room science leaves, interleaved to six."""
-    docs, cands = t.documents(spark, sf), t.candidates(spark, sf)
-    rows = kept(spark, sf)
+    docs, cands = t.stored_documents(spark, sf), t.candidates(spark, sf)
+    rows = stored(kept(spark, sf, docs), "kept")
     science_rows = rel.science_admission(
         rows.where((F.col("connector") == "openalex") & (F.col("excerpt_length") > 0)), docs
     ).where("admitted")
