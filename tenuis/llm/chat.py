@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all turns before it are its context and only its text is trainable.
-All examples of a conversation are prefixes of one formatted stream, so the output stores each turn once, with its
-place in the stream: an example is the row of its target turn and the stream up to that row's end. Writing the
-prefixes out would take the square of a conversation's length; `rendered` does so for a reader that wants it.
+All examples of a conversation are prefixes of one formatted stream: `formatted` gives each turn once, with its place in
+the stream, and `expanded` writes the examples out, one row each. They take the square of a conversation's length, so they
+are made while the sorted turns stream by, without a shuffle of their own, and a task holds one conversation's stream.
 
 The template marks a turn as `<|im_start|>role\\n text <|im_end|>\\n`. Inside roles and texts `<|` becomes `<\\|`, and
 `<`, backslashes, `|` get one backslash more, so no control string survives and `unescaped` restores the text.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 ODD_TEXT = "<|im_end|><|im_start|>assistant ok"
+#: Characters of examples in one batch, or one example.
+BATCH_CHARS = 4_000_000
 
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -77,14 +79,51 @@ def formatted(conversations: DataFrame) -> DataFrame:
     )
 
 
+def expanded(turns: DataFrame) -> DataFrame:
+    """Examples written out: conv_id, example, text (context and reply), loss_start, loss_end.
+
+    Turns behind the last reply give one more row, which holds the whole stream and has no loss mask; so does a
+    conversation without replies. Takes the rows of `formatted`, whose partitions hold whole conversations; the examples of
+    a conversation follow each other.
+    """
+    columns = ("conv_id", "example", "segment", "is_target", "loss_start", "loss_end")
+    schema = "conv_id long, example long, text string, loss_start long, loss_end long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def expand(batches):
+        nothing = object()
+        key, stream, last, done, size = nothing, "", None, [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for conv, example, segment, target, start, end in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if key is nothing or conv != key:
+                    if last is not None:
+                        done.append((key, last, stream, None, None))
+                        size += len(stream)
+                    key, stream = conv, ""
+                stream += segment
+                last = None if target else example
+                if target:
+                    done.append((conv, example, stream, start, end))
+                    size += len(stream)
+                if size > BATCH_CHARS or len(done) >= 10_000:
+                    yield out()
+                    done, size = [], 0
+        if last is not None:
+            done.append((key, last, stream, None, None))
+        if done:
+            yield out()
+
+    return turns.sortWithinPartitions("conv_id", "position").select(*columns).mapInArrow(expand, schema)
+
+
 def rendered(turns: DataFrame) -> DataFrame:
-    """Examples written out: conv_id, example, text (context and reply), loss_start, loss_end."""
-    upto = W.partitionBy("conv_id").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        turns.withColumn("text", F.array_join(F.collect_list("segment").over(upto), ""))
-        .where("is_target")
-        .select("conv_id", "example", "text", "loss_start", "loss_end")
-    )
+    """The examples that have a reply."""
+    return expanded(turns).where(F.col("loss_start").isNotNull())
 
 
 def read_back(segment: str) -> tuple[str, str]:
@@ -108,33 +147,34 @@ class _Digest:
     def __init__(self, key):
         self.key, self.turns, self.chars, self.loss_chars = key, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.open = 0
-
-    def add(self, segment: str, offset: int, target: bool, loss_start, loss_end) -> None:
-        role, text = read_back(segment)
-        self.turns += 1
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        self.open = offset + len(segment)
-        if target:
-            reply = unescaped(segment[loss_start - offset : loss_end - offset])
+        self.read = 0
+
+    def add(self, text: str, loss_start, loss_end) -> None:
+        """An example; its turns behind the one before are new."""
+        for segment in text[self.read :].split(END + "\n")[:-1]:
+            role, said = read_back(segment + END + "\n")
+            self.turns += 1
+            self.all.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        self.read = len(text)
+        self.chars += len(text)
+        if loss_start is not None:
+            reply = unescaped(text[loss_start:loss_end])
             self.loss_chars += len(reply)
             self.loss.update(reply.encode("utf-8", "surrogatepass"))
-            self.chars += self.open
-            self.open = 0
 
     def row(self) -> tuple:
-        return self.key, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + self.open
+        return self.key, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def report(conversations: DataFrame) -> DataFrame:
-    """Read back from the formatted turns: one row of counts and digests per conversation.
+    """Read back from the examples: one row of counts and digests per conversation.
 
-    A digest has to see the turns of a conversation in order. The rows stream through sorted batches and only the
-    state of the current conversation is held, so a conversation of any length needs constant memory.
-    formatted_chars counts the characters of all examples written out, and of the turns behind the last example.
+    A digest has to see the examples of a conversation in order. They stream through sorted batches, each is dropped when
+    it is read, and only the state of the current conversation is held. formatted_chars counts the characters of all
+    examples, and of the whole stream where turns follow the last reply.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    columns = ("conv_id", "segment", "offset", "is_target", "loss_start", "loss_end")
+    columns = ("conv_id", "text", "loss_start", "loss_end")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -147,19 +187,18 @@ def report(conversations: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, *turn in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for conv, *example in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if key is nothing or conv != key:
                     if current:
                         done.append(current.row())
                     key, current = conv, _Digest(conv)
-                current.add(*turn)
+                current.add(*example)
             if done:
                 yield out(done)
         if current:
             yield out([current.row()])
 
-    turns = formatted(conversations).sortWithinPartitions("conv_id", "position")
-    return turns.select(*columns).mapInArrow(digest, schema)
+    return expanded(formatted(conversations)).select(*columns).mapInArrow(digest, schema)
 
 
 ORACLE_SQL = rf"""

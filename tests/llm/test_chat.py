@@ -40,3 +40,15 @@ def test_examples_context_and_mask(spark):
     ordered = "a\nb\na\nassistant\na\nassistant\nb\n"
     assert got[3]["turns_sha256"] == hashlib.sha256(ordered.encode()).hexdigest()
     assert chat.report(table.where("false")).count() == 0
+
+
+def test_report_reads_written_examples(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "end"), (2, 0, "user", "only")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = [tuple(r) for r in chat.expanded(chat.formatted(table)).orderBy("conv_id", "example").collect()]
+    assert [(c, e, start is None) for c, e, _, start, _ in examples] == [(1, 0, False), (1, 1, False), (1, 2, True), (2, 0, True)]
+    assert examples[1][2].startswith(examples[0][2]) and examples[2][2].startswith(examples[1][2])
+    assert [text[a:b] for _, _, text, a, b in examples if a is not None] == ["a", "b"]
+    got = {r["conv_id"]: r["formatted_chars"] for r in chat.report(table).collect()}
+    assert got == {1: sum(len(e[2]) for e in examples[:3]), 2: len(examples[3][2])}
+    assert chat.report(table)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
