@@ -98,11 +98,14 @@ def first_url(items: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def control_matches(controls: DataFrame, names: DataFrame) -> DataFrame:
-    """Noise controls matched with proposals by normalized name; a match must be unique."""
+    """Noise controls matched with proposals by normalized name; a match must be unique.
+
+    Proposals of one name are counted before the join, so many controls and proposals of a name make no pairs."""
     proposals = names.select(tx.identity_key(F.col("name")).alias("k"), "proposal_id").distinct()
-    rows = controls.withColumn("k", tx.identity_key(F.col("text"))).join(proposals, "k", "left")
+    named = proposals.groupBy("k").agg(F.count("proposal_id").alias("n"), F.min("proposal_id").alias("proposal_id"))
+    rows = controls.withColumn("k", tx.identity_key(F.col("text"))).join(named, "k", "left")
     return rows.groupBy("noise_id").agg(
-        F.count("proposal_id").alias("matches"), F.min("proposal_id").alias("proposal_id")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.min("proposal_id").alias("proposal_id")
     ).withColumn("proposal_id", F.when(F.col("matches") == 1, F.col("proposal_id")))
 
 
