@@ -13,10 +13,11 @@ different components is looked for, links inside a component that is already kno
    range of set sizes and its component, if it has only one. A dual traversal starts with the pair of the root with
    itself and drops a pair of nodes when the greatest possible overlap is below the least one needed, when the size
    ranges are too far apart, or when both are of one component. All cells of a batch go down level by level together.
-4. *Rounds.* In the first round each candidate proposes its PARTNERS most promising partners of few cells; verified
-   links give components. In the second round the cells that still hold several components are traversed, and all
-   pairs that cannot be ruled out are verified on the full sets. In a cell whose rows are mostly of one component, only
-   the others meet all blocks.
+4. *Rounds.* In each of the first rounds a candidate proposes its PARTNERS most promising partners of few cells, which
+   are others each time; verified links give components, and later rounds take only cells that still hold several. In the
+   last round all such cells are traversed, and all pairs that cannot be ruled out are verified on the full sets. In a
+   cell whose rows are mostly of one component, only the others meet all blocks. A pair meets in the cells of all shingles
+   it shares: it is given only where none of the last BEFORE ones of both is shared, for it met there already.
 
 Sizes: rows of a cell or of a hot shingle spread over blocks; pairs are only proposed between components, so a group of
 copies costs rows in proportion to its size. Components contract by stars, with a durable checkpoint each round.
@@ -48,10 +49,13 @@ BLOCK = 256
 FANOUT = 8
 FIRST_CELLS = 4
 PARTNERS = 4
+#: Rounds of few cells, and how many earlier cells a row of the last round knows.
+FEW_ROUNDS = 2
+BEFORE = 4
 #: Stored sets and prefix rows that one task reads.
 SETS_PER_TASK = 5_000
 ROWS_PER_TASK = 250_000
-#: Up to so many ids of candidates are broadcast to the texts.
+#: Up to so many ids of candidates are broadcast to the texts, and pairs to the sets.
 BROADCAST_IDS = 4_000_000
 #: Bound of the list of frequent shingles, and from how many sets on one is frequent.
 HOT_MOST = 200_000
@@ -208,16 +212,50 @@ class Forest:
         return a[keep], b[keep]
 
 
+_BEFORE = [f"before{i}" for i in range(1, BEFORE + 1)]
+
+
+def first_meeting(n: np.ndarray, at: np.ndarray, before: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False for the row pairs (a, b) of a cell that met in a cell before, and for those that can't link if they didn't:
+    then all they share comes from this place on."""
+    most = np.minimum(n[a] - at[a], n[b] - at[b])
+    new = (100 + THRESHOLD) * most >= THRESHOLD * (n[a] + n[b])
+    for one in before:
+        for other in before:
+            new &= one[a] != other[b]
+    return new
+
+
+def _with_before(rows: DataFrame) -> DataFrame:
+    """Each row of a node once, with the tokens of its BEFORE rows before; where there is none, the node itself stands."""
+    order = W.partitionBy("node").orderBy("at")
+    once = rows.withColumn("_last", F.lag("at").over(order)).where(F.col("_last").isNull() | (F.col("_last") != F.col("at"))).drop("_last")
+    return once.withColumns({name: F.coalesce(F.lag("token", i).over(order), "node") for i, name in enumerate(_BEFORE, 1)})
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """The rows of cells of different labels that have a row of a size in the cell with which they could link, if their
+    shingle is the first that both share."""
+    order = W.partitionBy("token").orderBy("n", "node")
+    # At most n - at are shared, so a partner's size m has (100 + THRESHOLD) * (n - at) >= THRESHOLD * (n + m).
+    smaller = F.lag("n").over(order) * 100 >= F.col("n") * THRESHOLD
+    larger = (F.lead("n").over(order) + F.col("n")) * THRESHOLD <= (F.col("n") - F.col("at")) * (100 + THRESHOLD)
+    kept = rows.withColumn("_near", F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))).where("_near").drop("_near")
+    return _shared(kept, "label")
+
+
 def _proposals(cells: DataFrame, partners: int | None) -> DataFrame:
     """Pairs (a, b) of nodes from cells with columns cell (any type), node, n, sig, label: the most promising
-    `partners` of each node, or all."""
-    columns = ["cell", "node", "n", "sig", "label"]
+    `partners` of each node, or all. For all, cells also have the place `at` of their shingle in the prefix and the cells
+    `before` it."""
+    before = [] if partners else ["at", *_BEFORE]
+    columns = ["cell", "node", "n", "sig", "label", *before]
     sorted_cells = (
-        cells.select(F.xxhash64("cell").alias("cell"), "node", "n", "sig", "label").repartition("cell").sortWithinPartitions("cell", "n", "node")
+        cells.withColumn("cell", F.xxhash64("cell")).select(*columns).repartition("cell").sortWithinPartitions("cell", "n", "node")
     )
 
     def traverse(rows: list[np.ndarray]):
-        cell, node, n, sig, label = rows
+        cell, node, n, sig, label, *seen = rows
         out = []
         edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         at = 0
@@ -230,6 +268,9 @@ def _proposals(cells: DataFrame, partners: int | None) -> DataFrame:
             names = node[part]
             if not len(a):
                 continue
+            if seen:
+                new = first_meeting(n[part], seen[0][part], [s[part] for s in seen[1:]], a, b)
+                a, b, most = a[new], b[new], most[new]
             likeness = most / (n[part][a] + n[part][b] - most)
             if partners:
                 a, b, likeness = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([likeness, likeness])
@@ -244,7 +285,7 @@ def _proposals(cells: DataFrame, partners: int | None) -> DataFrame:
     def run(batches):
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns)) if i != 3]
             raw = b"".join(batch.column(3).to_pylist())
             rows.insert(3, np.frombuffer(raw, dtype=np.uint64).reshape(-1, BITS // 64))
             if not len(rows[0]):
@@ -273,14 +314,50 @@ def _proposals(cells: DataFrame, partners: int | None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _beside(pairs: DataFrame, rows: DataFrame, what: str) -> DataFrame:
+    """a, b and `what` of both, as left and right. Counted, few pairs go to the rows, which then need no shuffle."""
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    left = rows.select(F.col("node").alias("a"), F.col(what).alias("left")).join(few, "a")
+    right = rows.select(F.col("node").alias("b"), F.col(what).alias("right")).join(few, "b")
+    return left.join(right, ["a", "b"]).select("a", "b", "left", "right")
+
+
+def wide_bitmap(hashes: np.ndarray) -> bytes:
+    """Bits of the hashes of a set, eight or more for each; its first eight bytes are the size of the set."""
+    size = 64 << max(0, len(hashes) - 1).bit_length() >> 3
+    bits = np.zeros(max(64, size), dtype=bool)
+    bits[hashes & (len(bits) - 1)] = True
+    return len(hashes).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(left: bytes, right: bytes) -> bool:
+    """Whether sets with these wide bitmaps can be similar enough: a bit of one alone is a token of it alone."""
+    (n, a), (m, b) = ((int.from_bytes(w[:8], "little"), np.frombuffer(w, np.uint64, offset=8)) for w in (left, right))
+    while len(a) != len(b):
+        a, b = (np.bitwise_or(*w.reshape(2, -1)) if len(w) == max(len(a), len(b)) else w for w in (a, b))
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return (100 + THRESHOLD) * most >= THRESHOLD * (n + m)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
+    """The pairs (u, v) whose full sets are similar enough. Wide bitmaps, an eighth of the sets, rule out most others first."""
+
+    def widen(batches):
+        for batch in batches:
+            made = [wide_bitmap(h.values.to_numpy()) for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "wide"])
+
+    def rule_out(batches):
+        for batch in batches:
+            keep = [may_link(one, two) for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    wide = sets.select("node", "hashes").mapInArrow(widen, "node long, wide binary")
+    near = cut_lineage(_beside(cut_lineage(pairs), wide, "wide").mapInArrow(rule_out, "a long, b long"))
+    both = F.size(F.array_intersect("left", "right"))
     return (
-        pairs.join(one, "a").join(two, "b")
-        .where((100 + THRESHOLD) * both >= THRESHOLD * (F.size("ha") + F.size("hb")))
+        _beside(near, sets, "hashes")
+        .where((100 + THRESHOLD) * both >= THRESHOLD * (F.size("left") + F.size("right")))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
 
@@ -357,17 +434,20 @@ def roots_of_candidates(documents: DataFrame, nodes: DataFrame, key: str, text:
 
     rows = _sized(cut_lineage(_shared(prefix_rows(sets, frequent_shingles(sets)), "node")), ROWS_PER_TASK)
     bitmaps = sets.select("node", "sig").dropDuplicates(["node"])
-    first = W.partitionBy("node").orderBy("at")
-    few = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIRST_CELLS)
-    place = F.row_number().over(W.partitionBy("token").orderBy("n", "node"))
-    near = few.withColumn("block", F.floor((place - 1) / BLOCK)).select(
-        F.struct("token", "block").alias("cell"), "node", "n", F.col("node").alias("label")
-    ).join(bitmaps, "node")
     held = cut_lineage(sets.select("node").distinct())
-    found = cut_lineage(_verified(_proposals(near, PARTNERS), sets))
-    labels = cut_lineage(components(held, "node", found))
-
-    mixed = _shared(rows.join(labels.withColumnRenamed("root", "label"), "node"), "label")
+    mixed, found = rows.withColumn("label", F.col("node")), None
+    for turn in range(FEW_ROUNDS):
+        # Similar sets have the same shingles first, in any order that is the same for all.
+        first = W.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)) if turn else "at")
+        few = mixed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIRST_CELLS)
+        place = F.row_number().over(W.partitionBy("token").orderBy("n", "node"))
+        near = few.withColumn("block", F.floor((place - 1) / BLOCK)).select(F.struct("token", "block").alias("cell"), "node", "n", "label")
+        new = cut_lineage(_verified(_proposals(near.join(bitmaps, "node"), PARTNERS), sets))
+        found = found.unionByName(new) if found else new
+        labels = cut_lineage(components(held, "node", found))
+        mixed = cut_lineage(_shared(rows.join(labels.withColumnRenamed("root", "label"), "node"), "label"))
+
+    mixed = _with_partner(_with_before(mixed))
     counts = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("all"))
     order = W.partitionBy("token").orderBy(F.col("label") == F.col("main"), "n", "node")
@@ -376,7 +456,7 @@ def roots_of_candidates(documents: DataFrame, nodes: DataFrame, key: str, text:
     last = F.floor((F.col("all") - 1) / BLOCK)
     meets = F.when(F.col("block") < others, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.sequence(F.lit(0).cast("long"), others - 1))
     paired = numbered.withColumn("with", F.explode(meets)).select(
-        F.struct("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).alias("cell"), "node", "n", "label"
+        F.struct("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")).alias("cell"), "node", "n", "label", "at", *_BEFORE
     )
     more = _verified(_proposals(paired.join(bitmaps, "node"), None), sets)
     return components(held, "node", cut_lineage(found.unionByName(more)))

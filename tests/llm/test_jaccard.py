@@ -112,3 +112,41 @@ def test_trees_lose_no_pair():
                 assert (i, j) in got
     assert all(m >= len(np.intersect1d(sets[i], sets[j])) for i, j, m in zip(a, b, most, strict=True))
     assert len(got) < 200 * 199 / 8
+
+
+def test_a_pair_is_given_where_it_first_meets(spark):
+    schema = "node long, n long, at long, token long, label long"
+    # Nodes 1 and 2 share tokens 10 to 17 of their prefix, 2 and 3 only token 17; the rows of node 2 are there twice.
+    rows = [(1, 32, i, 10 + i, 1) for i in range(8)] + 2 * [(2, 32, i, 10 + i, 2) for i in range(8)] + [(3, 32, 0, 17, 3)]
+    before = jj._with_before(spark.createDataFrame(rows, schema)).collect()
+    assert len(before) == 17
+    met = []
+    for token in range(10, 18):
+        cell = sorted((r for r in before if r["token"] == token), key=lambda r: r["node"])
+        column = {name: np.array([r[name] for r in cell]) for name in ("node", "n", "at", *jj._BEFORE)}
+        a, b = np.triu_indices(len(cell), 1)
+        new = jj.first_meeting(column["n"], column["at"], [column[c] for c in jj._BEFORE], a, b)
+        met += [(token, *pair) for pair in zip(column["node"][a[new]].tolist(), column["node"][b[new]].tolist(), strict=True)]
+    # What shares only the last token of a prefix of 8 of 32 with its place 7 can't link any more.
+    assert met == [(10, 1, 2)]
+
+
+def test_wide_bitmaps_and_sizes_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        of = rng.integers(-(2**62), 2**62, rng.choice([1, 5, 70, 600]))
+        sets += [of, *(np.unique(np.concatenate([of[rng.random(len(of)) < keep], rng.integers(-(2**62), 2**62, rng.integers(0, 9))])) for keep in (0.9, 0.8, 0.5))]
+    sets = [s for s in sets if len(s)]
+    wide = [jj.wide_bitmap(s) for s in sets]
+    ruled = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            may = jj.may_link(wide[i], wide[j])
+            ruled += not may
+            assert may or 175 * both < 75 * (len(sets[i]) + len(sets[j]))
+    assert ruled > 0.9 * len(sets) * (len(sets) - 1) / 2
+    rows = [(1, 100, 0, 5, 1), (2, 134, 0, 5, 2), (3, 75, 0, 6, 3), (4, 100, 0, 6, 4), (5, 100, 10, 7, 5), (6, 100, 0, 7, 6), (7, 90, 20, 8, 7), (8, 100, 5, 8, 8)]
+    kept = jj._with_partner(spark.createDataFrame(rows, "node long, n long, at long, token long, label long"))
+    assert sorted(r["node"] for r in kept.collect()) == [3, 4, 5, 6]
