@@ -45,7 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the best segmentation and the changes of the further ones."""
-    return nbest.segmented(docs)
+    return nbest.segmented(docs, memory=(nbest.SHARED_CACHE_BYTES, nbest.SHARED_SEARCHED_BYTES))
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +33,20 @@ def share(spark: SparkSession, value, limit: int = MAX_BROADCAST_BYTES) -> Broad
 
 
 def with_text_columns(
-    df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], work: Callable[[], Callable[[list], list]]
+    df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], work: Callable[[], Callable[[list], list]],
+    at_once: int | None = None,
 ) -> DataFrame:
     """The columns `keep` as they are, and columns computed from the text of each row.
 
     `work` is called once per partition and gives a function from a list of texts (None for null) to one list or
-    Arrow array per field. Rows keep their order and number.
+    Arrow array per field. Rows keep their order and number. `at_once` bounds the bytes of the texts of a list.
     """
     source = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
-        for batch in batches:
+        for batch in batches if at_once is None else (part for whole in batches for part in cut_batch(whole, at_once)):
             columns = compute(batch.column(batch.num_columns - 1).to_pylist())
             made = [
                 c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=_arrow_type(f.dataType))
@@ -57,6 +59,17 @@ def with_text_columns(
     return source.mapInArrow(run, schema)
 
 
+def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches whose last column has at most so many bytes; a longer value is alone."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()):
+        if at > start and held + (size or 0) > most:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size or 0
+    yield batch.slice(start)
+
+
 def where_text(df: DataFrame, text: str, work: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The rows, with all their columns, for whose text the function of `work` says True."""
     at = df.columns.index(text)

@@ -29,13 +29,19 @@ BEST = 4
 #: the searched chunks. Chunks over LONGEST characters are not remembered.
 CACHE_BYTES = 72 << 20
 SEARCHED_BYTES = 24 << 20
+#: The same behind other stages, whose idle workers stay in the executor and take turns, each with a memory of its own.
+SHARED_CACHE_BYTES = 16 << 20
+SHARED_SEARCHED_BYTES = 6 << 20
 LONGEST = 64
+#: Bytes of texts that are segmented at a time; a longer text is alone.
+AT_ONCE = 1 << 20
 _LOW = float("-inf")
 
 
 class Segmenter:
-    def __init__(self, vocabulary: Vocabulary, best: int = BEST):
+    def __init__(self, vocabulary: Vocabulary, best: int = BEST, memory: tuple[int, int] | None = None):
         self.vocabulary, self.best = vocabulary, best
+        self.cache_bytes, self.searched_bytes = memory or (CACHE_BYTES, SEARCHED_BYTES)
         self.pieces_in, self.covered = matcher(vocabulary).iter, covered(vocabulary)
         self.cache: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
@@ -149,7 +155,7 @@ class Segmenter:
     def _recall(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         hit = self.cache.get(chunk) or self.older.get(chunk) or self.viterbi(chunk)
         if len(chunk) <= LONGEST:
-            if self.held >= CACHE_BYTES:
+            if self.held >= self.cache_bytes:
                 self.older, self.cache, self.held = self.cache, {}, 0
             if chunk not in self.cache:
                 self.held += 350 + len(chunk) + 8 * len(hit[0])
@@ -161,7 +167,7 @@ class Segmenter:
         if options is None:
             options = self.search(chunk, self.best)
             if len(chunk) <= LONGEST:
-                if self.searched_held >= SEARCHED_BYTES:
+                if self.searched_held >= self.searched_bytes:
                     self.searched, self.searched_held = {}, 0
                 self.searched_held += 200 + len(chunk) + sum(130 + 8 * len(ids) for _, ids in options)
                 self.searched[chunk] = options
@@ -213,8 +219,8 @@ def edited(ids: list[int], edits) -> list[int]:
     return out + list(ids[at:])
 
 
-#: Segmenters of this worker, by the vocabulary's path and N: later tasks find its memory filled.
-_OWN: dict[tuple[str, int], Segmenter] = {}
+#: Segmenters of this worker, by the vocabulary's path, N and bounds: later tasks find its memory filled.
+_OWN: dict[tuple, Segmenter] = {}
 
 _EDIT = T.StructType(
     [T.StructField("at", T.LongType()), T.StructField("count", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -232,13 +238,18 @@ _ARROW_OTHER = pa.list_(
 )
 
 
-def segmented(documents: DataFrame, key: str = "doc_id", text: str = "text", best: int = BEST, path: str = VOCABULARY) -> DataFrame:
+def segmented(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", best: int = BEST, path: str = VOCABULARY,
+    memory: tuple[int, int] | None = None,
+) -> DataFrame:
     """Per row: `key`, n_pieces, score, ids, alternatives (2nd to N-th segmentation), round_trip (ids and all
-    alternatives decode to the text)."""
+    alternatives decode to the text). `memory` bounds what a worker remembers, in the order of CACHE_BYTES and
+    SEARCHED_BYTES; results don't depend on it."""
     shared = share(documents.sparkSession, Vocabulary.read(path))
 
     def work():
-        segmenter = _OWN.get((path, best)) or _OWN.setdefault((path, best), Segmenter(shared.value, best))
+        own = (path, best, memory)
+        segmenter = _OWN.get(own) or _OWN.setdefault(own, Segmenter(shared.value, best, memory))
         decode = segmenter.vocabulary.decode
 
         def compute(texts):
@@ -264,4 +275,4 @@ def segmented(documents: DataFrame, key: str = "doc_id", text: str = "text", bes
 
         return compute
 
-    return with_text_columns(documents, [key], text, FIELDS, work)
+    return with_text_columns(documents, [key], text, FIELDS, work, AT_ONCE)

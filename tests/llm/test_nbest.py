@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from tenuis.llm import nbest
+from tenuis.llm.common import cut_batch
 from tenuis.llm.pieces import Vocabulary, chunks, edges
 
 
@@ -80,3 +82,22 @@ def test_memory_is_bounded_in_bytes_and_changes_nothing(vocabulary, monkeypatch)
         assert small.encode(text) == expected
         assert small.held < 21_000 and small.searched_held < 7_000 and len(small.older) < 100
     assert max(map(len, small.cache)) <= nbest.LONGEST
+
+
+def test_own_bounds_and_lists_of_texts_bounded_in_bytes(vocabulary, spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdéfgh", k=rng.randint(1, 12))) for _ in range(40)) for _ in range(60)]
+    free, small = nbest.Segmenter(vocabulary), nbest.Segmenter(vocabulary, memory=(20_000, 5_000))
+    for text in texts:
+        assert small.encode(text) == free.encode(text)
+        assert small.held < 21_000 and small.searched_held < 7_000
+    rows = [None, "", *texts, None, "x" * 3000, *texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    cut = list(cut_batch(batch, 1000))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict() and len(cut) > 40
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 1000 for b in cut)
+    assert list(cut_batch(batch.slice(0, 0), 1000))[0].num_rows == 0
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    want = nbest.segmented(docs).collect()
+    monkeypatch.setattr(nbest, "AT_ONCE", 1000)
+    assert nbest.segmented(docs, memory=(20_000, 5_000)).collect() == want
