@@ -11,9 +11,10 @@ have no class of their own. A frequent word has probability 1 in its class. In a
 left is the mass of all words that were never counted.
 
 The counts of all words meet the documents by word in Spark: a scan cuts the documents of a partition into blocks of about
-BLOCK_WORDS words, with the distinct words of a block and the documents as numbers in that list; the lists are joined
-with the counts and come back to their block. Words that occur once are only tallied by class: a word of a block that
-the counts don't hold is one of them. No table of words is broadcast but the frequent ones.
+BLOCK_WORDS words or BLOCK_DISTINCT distinct ones, with the distinct words of a block and the documents as numbers in that
+list; the lists are joined with the counts, packed by block, and meet the blocks in one shuffle. Words that occur once are
+only tallied by class: a word of a block that the counts don't hold is one of them. No table of words is broadcast but the
+frequent ones.
 
 Training, in numpy: in each round every partition starts from the shared weights and descends on the round's positions
 of all its documents. A hash of document and place deals all positions out over the rounds, so every position trains
@@ -53,8 +54,12 @@ RATE = 0.15
 #: Words scored at a time.
 BLOCK = 16_384
 CHUNK = 4096
-#: Words in a block of documents, which ends with the document that reaches them.
-BLOCK_WORDS = 1 << 18
+#: Words and distinct words in a block of documents, which ends with the document that reaches either; what travels by word
+#: goes with the distinct words of the blocks, so fewer, larger blocks move less.
+BLOCK_WORDS = 1 << 21
+BLOCK_DISTINCT = 1 << 18
+#: Counts that are packed by block at a time.
+PACKED_ROWS = 1 << 20
 #: Classes in a group of the two-level softmax.
 SLOTS = 32
 
@@ -239,7 +244,7 @@ def blocks(documents: DataFrame, key: str | None, text: str) -> DataFrame:
                 start, held, numbers = at, 0, []
                 seen: defaultdict = defaultdict()
                 seen.default_factory = seen.__len__
-                while at < batch.num_rows and held < BLOCK_WORDS:
+                while at < batch.num_rows and held < BLOCK_WORDS and len(seen) < BLOCK_DISTINCT:
                     words = words_of(texts[at].as_py())
                     numbers.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
                     held += len(words)
@@ -311,6 +316,24 @@ def shared_tokens(counts: DataFrame, frequent: list[tuple[bytes, int]]) -> np.nd
     return total
 
 
+def by_block(held: list) -> pa.RecordBatch:
+    """block, found: the places and counts in arrays of (block, at, n) packed by block, one row for each."""
+    block, at, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((at, block))
+    block, at, n = block[order], at[order].astype(np.int32), n[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
+    spans = zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)
+    found = [packed(np.diff(at[a:b], prepend=np.int32(0)).tobytes() + n[a:b].tobytes()) for a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), pa.array(found, pa.binary())], names=["block", "found"])
+
+
+def found_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """at and n from one packed value of `by_block`."""
+    raw = unpacked(raw)
+    size = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, np.int32, size)), np.frombuffer(raw, np.int64, size, 4 * size)
+
+
 def sequences(cut: DataFrame, counts: DataFrame, classes: Classes, key: str) -> DataFrame:
     """For every row, in the given order: key, the classes of its words as bytes, and the sum of log P(word | class)."""
     shared = share(cut.sparkSession, classes)
@@ -326,29 +349,46 @@ def sequences(cut: DataFrame, counts: DataFrame, classes: Classes, key: str) ->
                     names=["block", "at", "word"],
                 )
 
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= PACKED_ROWS:
+                yield by_block(held)
+                held, size = [], 0
+        if size:
+            yield by_block(held)
+
     def rows(batches):
-        own = shared.value
+        own, pieces = shared.value, []
         for batch in batches:
             for number in range(batch.num_rows):
-                sizes = np.frombuffer(batch.column(1)[number].as_py(), np.int64)
-                words = unpacked(batch.column(3)[number].as_py()).split()
-                flat = np.frombuffer(unpacked(batch.column(2)[number].as_py()), np.uint16 if len(words) < 1 << 16 else np.uint32)
+                # The counts of a block come before the block itself.
+                if batch.column(0)[number].is_valid:
+                    pieces.append(batch.column(0)[number].as_py())
+                    continue
+                sizes = np.frombuffer(batch.column(2)[number].as_py(), np.int64)
+                words = unpacked(batch.column(4)[number].as_py()).split()
+                flat = np.frombuffer(unpacked(batch.column(3)[number].as_py()), np.uint16 if len(words) < 1 << 16 else np.uint32)
                 ids, seen = own.of(words), np.ones(len(words), dtype=np.int64)
-                found = batch.column(4)[number]
-                if found.is_valid:
-                    seen[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
+                for at, n in map(found_counts, pieces):
+                    seen[at] = n
+                pieces = []
                 inside = own.inside(ids.astype(np.int64), seen)
                 ends = np.cumsum(sizes)
                 parts = [flat[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[number].values, pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([float(inside[p].sum()) for p in parts], pa.float64())],
+                    [batch.column(1)[number].values, pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([float(inside[p].sum()) for p in parts], pa.float64())],
                     names=[key, "ids", "__inside"],
                 )
 
     listed = cut.select("block", "words").mapInArrow(rare, "block long, at int, word binary").join(counts.where("word IS NOT NULL").select("word", "n"), "word")
-    found = listed.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    whole = cut.select("block", "keys", "sizes", "numbers", "words").join(found, "block", "left").orderBy("block")
-    return whole.select("keys", "sizes", "numbers", "words", "found").mapInArrow(rows, f"`{key}` {kind}, ids binary, __inside double")
+    found = listed.select("block", "at", "n").mapInArrow(pack, "block long, found binary")
+    whole = found.unionByName(cut.select("block", "keys", "sizes", "numbers", "words"), allowMissingColumns=True)
+    # By the block alone, so that all rows of a block meet; in the order of the blocks, which is that of the documents.
+    ordered = whole.repartitionByRange("block").sortWithinPartitions("block", F.col("found").isNull())
+    return ordered.select("found", "keys", "sizes", "numbers", "words").mapInArrow(rows, f"`{key}` {kind}, ids binary, __inside double")
 
 
 def descended(network: Network, documents, turn: int, rounds: int) -> tuple[Network, int, float]:

@@ -105,3 +105,35 @@ def test_a_rare_word_scores_by_its_own_count(spark, monkeypatch):
     classes = lm.Classes({b"the": 0}, tuple(4 if c == lm.suffix_class(b"ng") else 0 for c in range(lm.SUFFIX_CLASSES)))
     inside = classes.inside(classes.of([b"the", b"kaling", b"zzqing", b"madeuping"]).astype(np.int64), np.array([0, 3, 1, 0]))
     assert np.exp(inside).tolist() == pytest.approx([1, 3 / 5, 1 / 5, 1 / 5])
+
+
+def test_blocks_end_by_distinct_words_and_counts_meet_them_packed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 40) % 500) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "a " * 150_000, "b " * 150_000])), "doc_id long, text string").coalesce(1)
+    assert lm.blocks(docs, "doc_id", "text").count() == 1
+    monkeypatch.setattr(lm, "BLOCK_DISTINCT", 60)
+    monkeypatch.setattr(lm, "PACKED_ROWS", 7)
+    cut = lm.cut_lineage(lm.blocks(docs, "doc_id", "text"))
+    assert cut.count() > 10
+    plain = {}
+    for row in docs.collect():
+        for word in lm.words_of(row["text"]):
+            plain[word] = plain.get(word, 0) + 1
+    counts = lm.folded(lm.word_counts(cut))
+    frequent = sorted(plain.items(), key=lambda w: (-w[1], w[0]))[:5]
+    classes = lm.Classes({w: i for i, (w, _) in enumerate(frequent)}, tuple(lm.shared_tokens(counts, frequent).tolist()))
+    got = lm.sequences(cut, counts, classes, "doc_id").collect()
+    want = docs.collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    for r, w in zip(got, want, strict=True):
+        words = lm.words_of(w["text"])
+        ids = classes.of(words)
+        assert r["ids"] == ids.tobytes()
+        assert r["__inside"] == pytest.approx(classes.inside(ids.astype(np.int64), np.array([plain[x] for x in words])).sum())
+
+
+def test_packed_counts_come_back():
+    held = [[np.array([5, 3, 5]), np.array([9, 1, 2]), np.array([4, 1 << 40, 7])], [np.array([3]), np.array([0]), np.array([2])]]
+    got = {r["block"]: [x.tolist() for x in lm.found_counts(r["found"])] for r in lm.by_block(held).to_pylist()}
+    assert got == {3: [[0, 1], [2, 1 << 40]], 5: [[2, 9], [7, 4]]}
