@@ -29,7 +29,7 @@ BEST = 4
 #: the searched chunks. Chunks over LONGEST characters are not remembered.
 CACHE_BYTES = 72 << 20
 SEARCHED_BYTES = 24 << 20
-#: The same behind other stages, whose idle workers stay in the executor and take turns, each with a memory of its own.
+#: The same behind other stages, which leave less of the executor's memory to the workers.
 SHARED_CACHE_BYTES = 16 << 20
 SHARED_SEARCHED_BYTES = 6 << 20
 LONGEST = 64
