@@ -107,19 +107,22 @@ class Classes:
 
 class Network:
     """Weights in one flat float32 vector: embeddings by offset (with a class for the edge), bias, and the softmax in two
-    levels, the group of a class and its slot in the group, which takes far fewer exponentials than one over all."""
+    levels, the group of a class and its slot in the group, which takes far fewer exponentials than one over all. In both
+    levels the biases are the last row of the weights, as the hidden units end with a 1."""
 
     def __init__(self, classes: int, flat: np.ndarray | None = None, shares: np.ndarray | None = None):
         self.classes, self.groups = classes, -(-classes // SLOTS)
-        shapes = [(len(OFFSETS), classes + 1, WIDTH), (WIDTH,), (WIDTH, self.groups), (self.groups,), (self.groups, WIDTH, SLOTS), (self.groups, SLOTS)]
+        shapes = [(len(OFFSETS), classes + 1, WIDTH), (WIDTH,), (WIDTH + 1, self.groups), (self.groups, WIDTH + 1, SLOTS)]
         sizes = [int(np.prod(s)) for s in shapes]
         start = flat is None
         if start:
             flat = (np.random.default_rng(17).standard_normal(sum(sizes)) * 0.1).astype(np.float32)
         self.flat = flat
         cuts = np.cumsum([0, *sizes])
-        parts = (flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False))
-        self.embed, self.bias, self.group_out, self.group_bias, self.out, self.out_bias = parts
+        self.embed, self.bias, self.group_all, self.out_all = (flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False))
+        self.cells, self.middle = self.embed.reshape(-1, WIDTH), flat[cuts[1] : cuts[3]]
+        self.group_out, self.group_bias = self.group_all[:-1], self.group_all[-1]
+        self.out, self.out_bias = self.out_all[:, :-1], self.out_all[:, -1]
         if start:
             # The first network knows how frequent classes are; slots without a class are as good as impossible.
             full = np.full(self.groups * SLOTS, 1e-9)
@@ -128,95 +131,193 @@ class Network:
             self.group_bias[:] = np.log(full.sum(axis=1))
             self.out_bias[:] = np.log(full / full.sum(axis=1, keepdims=True))
 
+    def edged(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The documents one after another with the edge class around each, and the places of their words in that."""
+        sizes = [len(ids) for ids in documents]
+        at = np.arange(sum(sizes)) + np.repeat(np.arange(2, 2 * len(sizes) + 2, 2), sizes)
+        around = np.full(len(at) + 2 * len(sizes) + 2, self.classes, dtype=np.int64)
+        around[at] = np.concatenate(documents)
+        return around, at
+
     def contexts(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Classes around the ascending places, with the edge class beyond the ends."""
-        if not len(places):
-            return np.empty((0, len(OFFSETS)), dtype=np.int64)
-        low, high = int(places[0]) - 2, int(places[-1]) + 3
-        around = np.full(high - low, self.classes, dtype=np.int64)
-        around[max(low, 0) - low : min(high, len(ids)) - low] = ids[max(low, 0) : high]
-        return np.stack([around[places - low + o] for o in OFFSETS], axis=1)
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.embed[0][context[:, 0]]
-        for k in range(1, len(OFFSETS)):
-            total += self.embed[k][context[:, k]]
-        return np.tanh(total, out=total)
-
-    def _by_group(self, target: np.ndarray):
-        """The rows in the order of their groups, and (group, its span in that order) of the groups that the targets are in."""
-        group = target // SLOTS
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])[: len(order)])
-        return order, [(int(group[order[a]]), slice(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)]
+        """Classes around the places, with the edge class beyond the ends."""
+        around, at = self.edged([ids])
+        return _contexts_at(around, at[places])
+
+    def cells_of(self, context: np.ndarray) -> np.ndarray:
+        """The embeddings of the contexts by offset, as rows of `cells`."""
+        return context.T + np.arange(len(OFFSETS))[:, None] * (self.classes + 1)
+
+    def hidden(self, cells: np.ndarray) -> np.ndarray:
+        """One row by context, which ends with a 1."""
+        out = np.ones((cells.shape[1], WIDTH + 1), dtype=np.float32)
+        total = self.cells.take(cells[0], axis=0)
+        for own in cells[1:]:
+            total += self.cells.take(own, axis=0)
+        total += self.bias
+        np.tanh(total, out=out[:, :WIDTH])
+        return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), dtype=np.float64)
         for at in range(0, len(target), 8192):
             part = slice(at, at + 8192)
-            wanted, h = target[part], self.hidden(context[part])
-            picked = _log_softmax_at(h @ self.group_out + self.group_bias, wanted // SLOTS)
-            order, spans = self._by_group(wanted)
-            for group, span in spans:
-                rows = order[span]
-                picked[rows] += _log_softmax_at(h[rows] @ self.out[group] + self.out_bias[group], wanted[rows] % SLOTS)
+            wanted = target[part]
+            group, slot = np.divmod(wanted, SLOTS)
+            h = self.hidden(self.cells_of(context[part]))
+            picked = _log_softmax_at(self.group_all.T @ h.T, group, 0)
+            # Rows in the order of their groups: one product per group, and the softmax over all rows at once.
+            order, groups, starts, counts = _by_group(group)
+            sorted_h, inner = h.take(order, axis=0), np.empty((len(wanted), SLOTS), dtype=np.float32)
+            for own, start, end in zip(groups.tolist(), starts.tolist(), (starts + counts).tolist(), strict=True):
+                np.matmul(sorted_h[start:end], self.out_all[own], out=inner[start:end])
+            picked[order] += _log_softmax_at(inner, slot[order], 1)
             out[part] = picked
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss and its gradient as a flat vector."""
-        h = self.hidden(context)
-        grown = Network(self.classes, np.zeros_like(self.flat))
-        loss, p = _softmax_error(h @ self.group_out + self.group_bias, target // SLOTS, len(target))
-        back = p @ self.group_out.T
-        grown.group_out[:], grown.group_bias[:] = h.T @ p, p.sum(axis=0)
-        # Rows in the order of their groups: one small product per group, and the softmax over all rows at once.
-        order, spans = self._by_group(target)
-        sorted_h, inner = h[order], np.empty((len(target), SLOTS), dtype=np.float32)
-        for group, span in spans:
-            np.matmul(sorted_h[span], self.out[group], out=inner[span])
-        inner += self.out_bias[target[order] // SLOTS]
-        own, q = _softmax_error(inner, target[order] % SLOTS, len(target))
-        loss += own
-        inner_back = np.empty_like(sorted_h)
-        for group, span in spans:
-            np.matmul(q[span], self.out[group].T, out=inner_back[span])
-            np.matmul(sorted_h[span].T, q[span], out=grown.out[group])
-            grown.out_bias[group] = q[span].sum(axis=0)
-        back[order] += inner_back
+    def slopes(self, cells: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, tuple, tuple]:
+        """Mean loss and its gradient: by `middle`, and for `cells` and `out_all` the rows that have one with theirs."""
+        # Rows are taken by the size of their group in the batch. Groups of a few rows are filled up with rows of zeros to
+        # the next power of two, so that those of a size are one stacked product; larger groups have one each.
+        size, group = len(target), target // SLOTS
+        order, groups, starts, counts = _by_group(group)
+        full = _FILLED[np.minimum(counts, len(_FILLED) - 1)]
+        full = np.where(full, full, counts)
+        by_size = np.argsort(full, kind="stable")
+        groups, counts, full = groups[by_size], counts[by_size], full[by_size]
+        within = np.arange(size) - np.repeat(np.cumsum(counts) - counts, counts)
+        order, ends = order[np.repeat(starts[by_size], counts) + within], np.cumsum(full)
+        taken, tiers, at, first = np.repeat(ends - full, counts) + within, [], 0, 0
+        many_of = np.bincount(full)
+        for each in np.flatnonzero(many_of).tolist():
+            many = int(many_of[each])
+            tiers.append((slice(first, first + many), slice(at, at + each * many), (many, each, -1)))
+            first, at = first + many, at + each * many
+        cells, group, slot = cells[:, order], group[order], target[order] % SLOTS
+        h = self.hidden(cells)
+        loss, p = _softmax_error(self.group_all.T @ h.T, group, np.arange(size), 0)
+        back = p.T @ self.group_out.T
+        middle = np.empty_like(self.middle)
+        np.matmul(h.T, p.T, out=middle[WIDTH:].reshape(self.group_all.shape))
+        filled, weights = np.zeros((at, WIDTH + 1), np.float32), self.out_all.take(groups, axis=0)
+        filled[taken] = h
+        inner, inner_back, grown = np.empty((at, SLOTS), np.float32), np.empty((at, WIDTH), np.float32), np.empty_like(weights)
+        for own, span, shape in tiers:
+            np.matmul(filled[span].reshape(shape), weights[own], out=inner[span].reshape(shape))
+        more, q = _softmax_error(inner, taken, slot, 1)
+        for own, span, shape in tiers:
+            errors = q[span].reshape(shape)
+            np.matmul(errors, weights[own, :-1].transpose(0, 2, 1), out=inner_back[span].reshape(shape))
+            np.matmul(filled[span].reshape(shape).transpose(0, 2, 1), errors, out=grown[own])
+        back += inner_back.take(taken, axis=0)
+        h = h[:, :WIDTH]
         back *= 1.0 - h * h
-        cells = (context + np.arange(len(OFFSETS)) * (self.classes + 1)).ravel()
-        order = np.argsort(cells, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells[order]) != 0]))
-        grown.embed.reshape(-1, WIDTH)[cells[order[starts]]] = np.add.reduceat(back[order // len(OFFSETS)], starts, axis=0)
-        grown.bias[:] = back.sum(axis=0)
-        return loss, grown.flat
-
+        middle[:WIDTH] = back.sum(axis=0)
+        return loss + more, middle, _sums_by(cells, back, len(self.cells)), (groups, grown)
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(at)), at]
-    return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and its gradient as a flat vector."""
+        whole = Network(self.classes, np.zeros_like(self.flat))
+        loss, whole.middle[:], (cells, by_cell), (groups, by_group) = self.slopes(self.cells_of(context), target)
+        whole.cells[cells], whole.out_all[groups] = by_cell, by_group
+        return loss, whole.flat
+
+    def descend(self, squares: Network, cells: np.ndarray, target: np.ndarray) -> float:
+        """One step down the gradient, by the squares of all so far, and the mean loss before it. Weights without a gradient stay."""
+        loss, middle, by_cell, by_group = self.slopes(cells, target)
+        squares.middle[:] += middle * middle
+        self.middle[:] -= np.float32(RATE) * (middle / np.sqrt(squares.middle))
+        for weights, own, (at, grown) in ((self.cells, squares.cells, by_cell), (self.out_all, squares.out_all, by_group)):
+            held = own.take(at, axis=0)
+            held += grown * grown
+            own[at] = held
+            np.divide(grown, np.sqrt(held, out=held), out=held)
+            held *= np.float32(RATE)
+            weights[at] -= held
+        return loss
+
+
+def _contexts_at(around: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([around[at + o] for o in OFFSETS], axis=1)
+
+
+#: The next power of two, 2 at least, of the sizes of groups that are filled up.
+_FILLED = np.array([max(2, 1 << max(n - 1, 0).bit_length()) for n in range(33)] + [0])
+
+
+def _sums_by(cells: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that there are, below `most`, and the sums of their rows; a row belongs to all cells of its column."""
+    flat = cells.ravel().astype(class_type(most))
+    order = np.argsort(flat, kind="stable")
+    flat, order = flat[order], order % len(rows)
+    bounds = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+    starts, counts = bounds[:-1], bounds[1:] - bounds[:-1]
+    sums, several = rows.take(order[starts], axis=0), counts > 1
+    if several.any():
+        # Pairs of floats are added as complex numbers: the sums are the same, and numpy goes through half as many columns.
+        shared, sizes = rows.take(order[np.repeat(several, counts)], axis=0), counts[several]
+        sums[several] = np.add.reduceat(shared.view(np.complex64), np.cumsum(sizes) - sizes, axis=0).view(np.float32)
+    return flat[starts].astype(np.int64), sums
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in the order of their groups, the groups that there are, and where each starts in that order and its size."""
+    counts = np.bincount(group)
+    groups = np.flatnonzero(counts)
+    counts, order = counts[groups], np.argsort(group.astype(class_type(len(counts))), kind="stable")
+    return order, groups, np.cumsum(counts) - counts, counts
+
+
+def _lowered(logits: np.ndarray, axis: int) -> np.ndarray:
+    """Logits whose exponentials can be summed along the axis; those between -60 and 60 stay as they are."""
+    if logits.size and (logits.max() > 60 or logits.min() < -60):
+        logits -= logits.max(axis=axis, keepdims=True)
+    return logits
+
+
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+    """One value for each of the softmaxes along the axis: the logarithm at its own place."""
+    logits, own = _lowered(logits, axis), np.arange(len(at))
+    picked = logits[at, own] if axis == 0 else logits[own, at]
+    return (picked - np.log(np.exp(logits, out=logits).sum(axis=axis))).astype(np.float64)
+
+
+def _softmax_error(logits: np.ndarray, first: np.ndarray, second: np.ndarray, axis: int) -> tuple[float, np.ndarray]:
+    """Mean loss at the targets, of softmaxes along the axis, and its gradient by logits."""
+    p = np.exp(_lowered(logits, axis), out=logits)
+    sums = p.sum(axis=0) if axis == 0 else (p @ np.ones(p.shape[1], np.float32))[:, None]
+    total = np.float32(len(first))
+    p *= np.float32(1.0) / (sums * total)
+    picked = p[first, second]
+    p[first, second] = picked - np.float32(1.0) / total
+    return float(-np.log(np.maximum(picked * total, 1e-30)).mean()), p
+
+
+def in_turn(numbers: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Which of the numbers a round takes: a hash deals them out over MASK_EVERY parts, and each part belongs to one round."""
+    mixed = numbers * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xA0761D6478BD642F)
+    mixed >>= np.uint64(60)
+    return (np.arange(16) % rounds == turn).take(mixed.astype(np.uint8))
 
 
-def _softmax_error(logits: np.ndarray, at: np.ndarray, total: int) -> tuple[float, np.ndarray]:
-    """Sum of the losses and its gradient by logits, both over `total`."""
-    rows = np.arange(len(at))
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits, out=logits)
-    p /= p.sum(axis=1, keepdims=True)
-    loss = float(-np.log(np.maximum(p[rows, at], 1e-30)).sum()) / total
-    p[rows, at] -= 1.0
-    p /= np.float32(total)
-    return loss, p
+def masked_places(size: int, seed: int, turn: int, rounds: int = MASK_EVERY) -> np.ndarray:
+    """The places of a round in a document: its seed and the place are hashed together."""
+    return np.flatnonzero(in_turn(np.arange(size, dtype=np.uint64) + np.uint64(seed), turn, rounds))
 
 
-def masked_places(size: int, seed: int, turn: int, rounds: int = MASK_EVERY) -> np.ndarray:
-    """The places of a round: a hash of the document's seed and the place deals all places out over MASK_EVERY parts, and
-    each part belongs to one of the rounds."""
-    mixed = (np.arange(size, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    part = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F) >> np.uint64(60)
-    return np.flatnonzero(part % np.uint64(rounds) == turn)
+def listed(documents, words: int):
+    """Lists of documents with so many words in all, or a longer one at the end."""
+    held, size = [], 0
+    for ids in documents:
+        held.append(ids)
+        size += len(ids)
+        if size >= words:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def packed(raw: bytes) -> bytes:
@@ -383,7 +484,10 @@ def sequences(cut: DataFrame, counts: DataFrame, classes: Classes, key: str) ->
                     names=[key, "ids", "__inside"],
                 )
 
-    listed = cut.select("block", "words").mapInArrow(rare, "block long, at int, word binary").join(counts.where("word IS NOT NULL").select("word", "n"), "word")
+    listed = cut.select("block", "words").mapInArrow(rare, "block long, at int, word binary").join(
+        # Each word is there once, so a task's share of the words is hashed rather than both sides sorted.
+        counts.where("word IS NOT NULL").select("word", "n").hint("shuffle_hash"), "word"
+    )
     found = listed.select("block", "at", "n").mapInArrow(pack, "block long, found binary")
     whole = found.unionByName(cut.select("block", "keys", "sizes", "numbers", "words"), allowMissingColumns=True)
     # By the block alone, so that all rows of a block meet; in the order of the blocks, which is that of the documents.
@@ -394,36 +498,27 @@ def sequences(cut: DataFrame, counts: DataFrame, classes: Classes, key: str) ->
 def descended(network: Network, documents, turn: int, rounds: int) -> tuple[Network, int, float]:
     """Weights after one pass over the round's places in the class sequences, the number of places and the loss sum."""
     network = Network(network.classes, network.flat.copy())
-    squares, scratch = np.full_like(network.flat, 1e-6), np.empty_like(network.flat)
-    contexts, targets, held, places, losses = [], [], 0, 0, 0.0
-
-    def step():
-        nonlocal places, losses
-        context, target = np.concatenate(contexts), np.concatenate(targets)
-        for at in range(0, len(target), BATCH):
-            loss, grown = network.gradient(context[at : at + BATCH], target[at : at + BATCH])
-            np.multiply(grown, grown, out=scratch)
-            np.add(squares, scratch, out=squares)
-            np.sqrt(squares, out=scratch)
-            np.divide(grown, scratch, out=scratch)
-            np.multiply(scratch, np.float32(RATE), out=scratch)
-            network.flat[:] -= scratch
-            places += len(target[at : at + BATCH])
-            losses += loss * len(target[at : at + BATCH])
-        contexts.clear(), targets.clear()
-
-    for ids in documents:
-        chosen = masked_places(len(ids), crc32(ids.tobytes()), turn, rounds)
-        for start in range(0, len(chosen), 16 * BATCH):
-            at = chosen[start : start + 16 * BATCH]
-            contexts.append(network.contexts(ids, at))
-            targets.append(ids[at].astype(np.int64))
-            held += len(at)
-            if held >= 16 * BATCH:
-                step()
-                held = 0
-    if held:
-        step()
+    squares = Network(network.classes, np.full_like(network.flat, 1e-6))
+    places, losses = 0, 0.0
+    cells, target = np.empty((len(OFFSETS), 0), dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def step(least):
+        nonlocal cells, target, places, losses
+        while len(target) >= least:
+            own = target[:BATCH]
+            losses += network.descend(squares, cells[:, :BATCH], own) * len(own)
+            places += len(own)
+            cells, target = cells[:, BATCH:], target[BATCH:]
+
+    for some in listed(documents, BLOCK):
+        sizes, flat = np.array([len(ids) for ids in some]), np.concatenate(some)
+        seeds = np.array([crc32(ids.tobytes()) for ids in some]) - (np.cumsum(sizes) - sizes)
+        chosen = np.flatnonzero(in_turn((np.arange(len(flat)) + np.repeat(seeds, sizes)).astype(np.uint64), turn, rounds))
+        around, at = network.edged(some)
+        cells = np.concatenate([cells, network.cells_of(_contexts_at(around, at[chosen]))], axis=1)
+        target = np.concatenate([target, flat[chosen].astype(np.int64)])
+        step(BATCH)
+    step(1)
     return network, places, losses
 
 
@@ -474,13 +569,6 @@ def trained(rows: DataFrame, network: Network, rounds: int = ROUNDS) -> tuple[Ne
     return network, history
 
 
-def _add_scores(network: Network, contexts: list, targets: list, owners: list, sums: np.ndarray) -> None:
-    if targets:
-        found = network.log_probability(np.concatenate(contexts), np.concatenate(targets))
-        sums += np.bincount(np.concatenate(owners), found, len(sums))
-        contexts.clear(), targets.clear(), owners.clear()
-
-
 def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
     """key, n_words, score (sum of log-probabilities), mean_score."""
     shared = share(rows.sparkSession, (network.classes, network.flat))
@@ -491,20 +579,15 @@ def scored(rows: DataFrame, network: Network, key: str) -> DataFrame:
         for batch in batches:
             documents = [np.frombuffer(raw, dtype=class_type(own.classes)) for raw in batch.column(1).to_pylist()]
             sizes = np.array([len(d) for d in documents], dtype=np.int64)
-            sums = np.zeros(len(documents))
+            sums, at = np.zeros(len(documents)), 0
             # Words are scored in blocks, which hold several documents or a part of a long one.
-            contexts, targets, owners, held = [], [], [], 0
-            for number, ids in enumerate(documents):
-                for at in range(0, len(ids), BLOCK):
-                    places = np.arange(at, min(at + BLOCK, len(ids)))
-                    contexts.append(own.contexts(ids, places))
-                    targets.append(ids[places].astype(np.int64))
-                    owners.append(np.full(len(places), number))
-                    held += len(places)
-                    if held >= BLOCK:
-                        _add_scores(own, contexts, targets, owners, sums)
-                        held = 0
-            _add_scores(own, contexts, targets, owners, sums)
+            for some in listed(documents, BLOCK):
+                (around, words), owners = own.edged(some), np.repeat(np.arange(len(some)), [len(d) for d in some])
+                for first in range(0, len(words), BLOCK):
+                    places = words[first : first + BLOCK]
+                    found = own.log_probability(_contexts_at(around, places), around[places])
+                    sums[at : at + len(some)] += np.bincount(owners[first : first + BLOCK], found, len(some))
+                at += len(some)
             sums += batch.column(2).to_numpy()
             means = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(

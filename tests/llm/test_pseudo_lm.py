@@ -137,3 +137,45 @@ def test_packed_counts_come_back():
     held = [[np.array([5, 3, 5]), np.array([9, 1, 2]), np.array([4, 1 << 40, 7])], [np.array([3]), np.array([0]), np.array([2])]]
     got = {r["block"]: [x.tolist() for x in lm.found_counts(r["found"])] for r in lm.by_block(held).to_pylist()}
     assert got == {3: [[0, 1], [2, 1 << 40]], 5: [[2, 9], [7, 4]]}
+
+
+def test_a_step_equals_the_dense_one():
+    rng, net = np.random.default_rng(4), small(100)
+    squares, flat, dense = lm.Network(100, np.full_like(net.flat, 1e-6)), net.flat.copy(), np.full_like(net.flat, 1e-6)
+    for size in (1, 2, 512, 300):
+        target = np.minimum(rng.zipf(1.3, size) - 1, 99)
+        context = rng.integers(0, 101, (size, 4))
+        want, grown = lm.Network(100, flat).gradient(context, target)
+        assert want == pytest.approx(-net.log_probability(context, target).mean(), abs=1e-4)
+        dense += grown * grown
+        flat -= np.float32(lm.RATE) * grown / np.sqrt(dense)
+        net.descend(squares, net.cells_of(context), target)
+        assert np.abs(net.flat - flat).max() < 1e-5
+    untouched = net.cells_of(np.full((1, 4), 100))
+    before = net.flat.copy()
+    net.descend(squares, untouched, np.array([0]))
+    assert (net.flat == before).sum() > len(before) * 0.7
+
+
+def test_large_logits_score_as_the_loop_does():
+    net, ids = small(), np.array([0, 33, 69, 69, 1, 40, 5], dtype=np.uint16)
+    net.flat[:] *= 80
+    got = net.log_probability(net.contexts(ids, np.arange(7)), ids.astype(np.int64))
+    assert np.isfinite(got).all() and got.sum() == pytest.approx(slow(net, ids), rel=1e-4)
+    assert math.isfinite(net.gradient(net.contexts(ids, np.arange(7)), ids.astype(np.int64))[0])
+
+
+def test_documents_in_a_list_keep_their_own_ends():
+    net = small()
+    documents = [np.array(d, dtype=np.uint16) for d in ([1, 2, 3], [], [4], [], [5, 6])]
+    around, at = net.edged(documents)
+    want = [net.contexts(d, np.arange(len(d))) for d in documents]
+    assert lm._contexts_at(around, at).tolist() == np.concatenate(want).tolist()
+    assert around[at].tolist() == [1, 2, 3, 4, 5, 6] and [len(some) for some in lm.listed(documents, 3)] == [1, 4]
+
+
+def test_words_of_blocks_are_not_sorted_to_meet_their_counts(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    cut = lm.blocks(docs, "doc_id", "text")
+    plan = lm.sequences(cut, lm.folded(lm.word_counts(cut)), lm.Classes({b"a": 0}), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
