@@ -16,13 +16,17 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tenuis.llm.common import lists, share, with_text_columns
-from tenuis.llm.pieces import VOCABULARY, Vocabulary, chunks, covered, matcher
+from tenuis.llm.pieces import VOCABULARY, Steps, Vocabulary, chunks, covered, matcher
 
 BEST = 4
 #: Bytes of each of the two generations of chunks that a worker remembers (chunks in use move to the younger one), and of
@@ -33,6 +37,9 @@ SEARCHED_BYTES = 24 << 20
 SHARED_CACHE_BYTES = 16 << 20
 SHARED_SEARCHED_BYTES = 6 << 20
 LONGEST = 64
+#: Chunks whose best segmentations are found side by side; fewer than LEAST are taken one at a time.
+TOGETHER = 2048
+LEAST = 64
 #: Bytes of texts that are segmented at a time; a longer text is alone.
 AT_ONCE = 1 << 20
 _LOW = float("-inf")
@@ -48,6 +55,10 @@ class Segmenter:
         self.searched: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self.held = self.searched_held = 0
 
+    @cached_property
+    def steps(self) -> Steps:
+        return Steps.of(self.vocabulary)
+
     def viterbi(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best segmentation, and what the second one loses against it."""
         if self.covered.issuperset(chunk):
@@ -117,6 +128,70 @@ class Segmenter:
         ids.reverse()
         return tuple(ids), first[size], first[size] - second[size]
 
+    def viterbi_of(self, found: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+        """The same for each of many chunks. Those of up to LONGEST letters of the table are taken side by side."""
+        if len(found) < LEAST:
+            return list(map(self.viterbi, found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        letters = self.steps.letter.take(np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32))
+        starts = np.cumsum(sizes) - sizes
+        fit = (sizes <= LONGEST) & (np.minimum.reduceat(letters, starts) > 0)
+        out: list = [None] * len(found)
+        for at in np.flatnonzero(~fit).tolist():
+            out[at] = self.viterbi(found[at])
+        # Chunks of like lengths share a batch.
+        fitting = np.flatnonzero(fit)
+        fitting = fitting[np.argsort(sizes[fitting], kind="stable")]
+        for first in range(0, len(fitting), TOGETHER):
+            own = fitting[first : first + TOGETHER]
+            for at, hit in zip(own.tolist(), self._viterbi_together(letters, starts[own], sizes[own]), strict=True):
+                out[at] = hit
+        return out
+
+    def _viterbi_together(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """The same for chunks given by their letters, one a column, with the same sums in the same order."""
+        steps, width, many = self.steps, int(sizes.max()), len(sizes)
+        column = np.arange(many)
+        place = np.arange(width)[:, None]
+        rows = np.where(place < sizes, letters.take(np.minimum(starts + place, len(letters) - 1)), 0)
+        # nodes[n - 1][start] is the node of the n letters from a start.
+        nodes, table, letter_count = [], steps.table.ravel(), steps.table.shape[1]
+        node = np.full(rows.shape, steps.root, dtype=np.int32)
+        for length in range(1, min(width, steps.longest) + 1):
+            node = node[: width - length + 1]
+            node = table.take(np.where(node < len(steps.table), node, 0) * letter_count + rows[length - 1 :])
+            if not node.any():
+                break
+            nodes.append(node)
+        first, second = np.full((width + 1, many), _LOW), np.full((width + 1, many), _LOW)
+        first[0] = 0.0
+        last = np.zeros((width + 1, many), dtype=np.int64)
+        for end in range(1, width + 1):
+            one, two, own = first[end], second[end], last[end]
+            # Of equal sums the longest piece wins, as it comes first.
+            for length in range(min(end, len(nodes)), 0, -1):
+                score = steps.score.take(nodes[length - 1][end - length])
+                value = first[end - length] + score
+                score += second[end - length]
+                np.copyto(own, length, where=value > one)
+                np.maximum(score, np.minimum(value, one), out=score)
+                np.maximum(two, score, out=two)
+                np.maximum(one, value, out=one)
+        best, cost = first[sizes, column], first[sizes, column] - second[sizes, column]
+        ids, counts, end, going = np.empty((many, width), dtype=np.int32), np.zeros(many, dtype=np.int64), sizes.copy(), column
+        while len(going):
+            length = last[end[going], going]
+            end[going] -= length
+            counts[going] += 1
+            for own in np.unique(length).tolist():
+                some = going[length == own]
+                ids[some, width - counts[some]] = steps.number[nodes[own - 1][end[some], some]]
+            going = going[end[going] > 0]
+        return [
+            (tuple(row[width - n :]), value, lost)
+            for row, n, value, lost in zip(ids.tolist(), counts.tolist(), best.tolist(), cost.tolist(), strict=True)
+        ]
+
     def search(self, chunk: str, best: int) -> list[tuple[float, tuple[int, ...]]]:
         """The best segmentations by backward A-star search: (score, ids), best first."""
         known, unknown, size = self.vocabulary.known, self.vocabulary.unknown, len(chunk)
@@ -152,15 +227,19 @@ class Segmenter:
                 heapq.heappush(agenda, (-(done + score + ahead[start]), start, next(order), done + score, ((start, number), path)))
         return found
 
-    def _recall(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        hit = self.cache.get(chunk) or self.older.get(chunk) or self.viterbi(chunk)
-        if len(chunk) <= LONGEST:
-            if self.held >= self.cache_bytes:
-                self.older, self.cache, self.held = self.cache, {}, 0
-            if chunk not in self.cache:
-                self.held += 350 + len(chunk) + 8 * len(hit[0])
-            self.cache[chunk] = hit
-        return hit
+    def _recall(self, parts: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+        """Ids, score and cost of different chunks; what isn't remembered is found for all of them at once."""
+        found = list(map(self.cache.get, parts))
+        missing = {part: self.older.get(part) for part, hit in zip(parts, found, strict=True) if hit is None}
+        new = [part for part, hit in missing.items() if hit is None]
+        missing.update(zip(new, self.viterbi_of(new), strict=True))
+        for part, hit in missing.items():
+            if len(part) <= LONGEST:
+                if self.held >= self.cache_bytes:
+                    self.older, self.cache, self.held = self.cache, {}, 0
+                self.held += 350 + len(part) + 8 * len(hit[0])
+                self.cache[part] = hit
+        return [hit or missing[part] for hit, part in zip(found, parts, strict=True)]
 
     def _options(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         options = self.searched.get(chunk)
@@ -175,14 +254,30 @@ class Segmenter:
 
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation, and for each further one its score and edits (at, count, ids)."""
-        parts = chunks(" " + text)
-        found = list(map(self.cache.get, parts))
-        if None in found:
-            found = [hit or self._recall(part) for hit, part in zip(found, parts, strict=True)]
-        ids = list(itertools.chain.from_iterable([hit[0] for hit in found]))
-        total = sum([hit[1] for hit in found])
-        costs = [hit[2] for hit in found]
-        chosen = sorted(place for _, place in heapq.nsmallest(self.best - 1, zip(costs, range(len(parts)), strict=True)))
+        ids, total, others = next(self.encoded([text]))
+        return ids.tolist(), total, others
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list]]:
+        """The same for each text, with the ids as an array. Each different chunk of the texts is looked up once."""
+        cut, number = [chunks(" " + text) for text in texts], defaultdict()
+        number.default_factory = number.__len__
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sizes.sum())
+        found = self._recall(list(number))
+        counts = np.fromiter((len(hit[0]) for hit in found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable([hit[0] for hit in found]), np.int32, counts.sum())
+        scores, costs = np.array([hit[1] for hit in found]), np.array([hit[2] for hit in found])
+        starts, counts = (np.cumsum(counts) - counts)[at], counts[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = ids.take(np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1]))
+        first = 0
+        for parts, size in zip(cut, sizes.tolist(), strict=True):
+            own = at[first : first + size]
+            yield self._joined(parts, ids[ends[first] : ends[first + size]], sum(scores[own].tolist()), costs[own], counts[first : first + size])
+            first += size
+
+    def _joined(self, parts: list[str], ids: np.ndarray, total: float, costs: np.ndarray, counts: np.ndarray):
+        chosen, costs = sorted(_smallest(costs, self.best - 1)), costs.tolist()
         chosen_options: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for place in chosen:
@@ -200,9 +295,9 @@ class Segmenter:
             sums = more[: self.best]
         others = []
         if len(sums) > 1:
-            starts = [0, *itertools.accumulate([len(hit[0]) for hit in found])]
+            starts, counts = (np.cumsum(counts) - counts).tolist(), counts.tolist()
             for loss, picks in sums[1:]:
-                edits = [(starts[-p], len(found[-p][0]), chosen_options[-p][n][1]) for p, n in picks]
+                edits = [(starts[-p], counts[-p], chosen_options[-p][n][1]) for p, n in picks]
                 others.append((total - loss, edits))
         return ids, total, others
 
@@ -210,6 +305,14 @@ class Segmenter:
         return self.vocabulary.decode(ids)[1:]
 
 
+def _smallest(values: np.ndarray, most: int) -> list[int]:
+    """The places of the smallest values, of equal ones the first."""
+    if most < 1:
+        return []
+    places = np.arange(len(values)) if len(values) <= most else np.flatnonzero(values <= np.partition(values, most - 1)[most - 1])
+    return places[np.argsort(values[places], kind="stable")][:most].tolist()
+
+
 def edited(ids: list[int], edits) -> list[int]:
     """The ids of a further segmentation."""
     out, at = [], 0
@@ -254,21 +357,23 @@ def segmented(
 
         def compute(texts):
             numbers, scores, flat, sizes, others, exact = [], [], [], [], [], []
+            encoded = segmenter.encoded([text for text in texts if text is not None])
             for text in texts:
                 if text is None:
                     numbers.append(None), scores.append(None), sizes.append(0), others.append(None), exact.append(None)
                     continue
-                ids, score, more = segmenter.encode(text)
+                ids, score, more = next(encoded)
                 numbers.append(len(ids)), scores.append(score), sizes.append(len(ids))
-                flat += ids
+                flat.append(ids)
                 others.append(
                     [{"score": s, "edits": [{"at": a, "count": c, "ids": list(new)} for a, c, new in edits]} for s, edits in more]
                 )
+                ids = ids.tolist()
                 exact.append(
                     segmenter.decode(ids) == text
                     and all(decode(new) == decode(ids[a : a + c]) for _, edits in more for a, c, new in edits)
                 )
-            values = lists(flat, sizes, pa.int32())
+            values = lists(np.concatenate(flat) if flat else [], sizes, pa.int32())
             if None in numbers:
                 values = pa.ListArray.from_arrays(values.offsets, values.values, mask=pa.array([n is None for n in numbers]))
             return [numbers, scores, values, pa.array(others, _ARROW_OTHER), exact]

@@ -10,9 +10,11 @@ checks both. The lattice of a text therefore falls apart, without loss, into the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -112,6 +114,45 @@ def covered(vocabulary: Vocabulary) -> frozenset[str]:
     return frozenset(piece for piece, (number, _) in vocabulary.known.items() if len(piece) == 1 and number >= 0)
 
 
+@dataclass(frozen=True)
+class Steps:
+    """The tree of all beginnings of pieces as a table, for walks over many texts at once. Letters are the covered characters
+    that most pieces have, numbered from 1; `letter` gives the number of a code point, 0 for all others. A node's row of
+    `table` holds its children by letter, 0 for none; nodes from the number of rows on have no children. `number` and `score` are those of the piece
+    that ends in a node, -1 and -inf if none does."""
+
+    letter: np.ndarray
+    table: np.ndarray
+    number: np.ndarray
+    score: np.ndarray
+    longest: int
+
+    @staticmethod
+    def of(vocabulary: Vocabulary, letters: int = 127) -> Steps:
+        single, seen = covered(vocabulary), Counter()
+        for piece, (number, _) in vocabulary.known.items():
+            if number >= 0:
+                seen.update(single.intersection(piece))
+        chosen = {c: at for at, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters], 1)}
+        starts = [piece for piece in vocabulary.known if all(map(chosen.__contains__, piece))]
+        inner = {piece[:-1] for piece in starts}
+        node = {piece: at for at, piece in enumerate([*sorted(inner), *(p for p in starts if p not in inner)], 1)}
+        table = np.zeros((len(inner) + 1, letters + 1), dtype=np.int32)
+        number, score = np.full(len(node) + 1, -1, dtype=np.int32), np.full(len(node) + 1, -np.inf)
+        for piece in starts:
+            table[node[piece[:-1]], chosen[piece[-1]]] = node[piece]
+            if vocabulary.known[piece][0] >= 0:
+                number[node[piece]], score[node[piece]] = vocabulary.known[piece]
+        letter = np.zeros(0x110000, dtype=np.uint8)
+        letter[[ord(c) for c in chosen]] = list(chosen.values())
+        return Steps(letter, table, number, score, max(map(len, starts), default=0))
+
+    @property
+    def root(self) -> int:
+        """The node of the empty beginning, which sorts first."""
+        return 1
+
+
 def edges(known: dict[str, tuple[int, float]], chunk: str) -> list[list[tuple[int, int, float]]]:
     """For each start, the (end, id, score) of the pieces there; id -1 and score 0 stand for an unknown character."""
     out, size = [], len(chunk)

@@ -101,3 +101,34 @@ def test_own_bounds_and_lists_of_texts_bounded_in_bytes(vocabulary, spark, monke
     want = nbest.segmented(docs).collect()
     monkeypatch.setattr(nbest, "AT_ONCE", 1000)
     assert nbest.segmented(docs, memory=(20_000, 5_000)).collect() == want
+
+
+def test_chunks_side_by_side_equal_single_ones(vocabulary, monkeypatch):
+    rng = random.Random(10)
+    letters = ["a", "b", "e", "n", "s", "t", "i", "o", "r", "th", "é", " ", "1", ",", "\n", "漢", "\U0001f600", "▁"]
+    found = list(dict.fromkeys("".join(rng.choices(letters[:11] if rng.random() < 0.8 else letters, k=rng.randint(1, 30))) for _ in range(3000)))
+    found += ["a" * 64, "a" * 65, "b" * 500, " "]
+    segmenter, alone = nbest.Segmenter(vocabulary), nbest.Segmenter(vocabulary)
+    calls = []
+    monkeypatch.setattr(segmenter, "viterbi", lambda chunk: calls.append(chunk) or alone.viterbi(chunk))
+    monkeypatch.setattr(nbest, "TOGETHER", 500)
+    assert segmenter.viterbi_of(found) == [alone.viterbi(chunk) for chunk in found]
+    assert len(calls) < len(found) / 3 and {"a" * 65, "b" * 500} <= set(calls) and "a" * 64 not in calls
+
+
+def test_texts_of_a_list_are_segmented_as_alone(vocabulary):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefghijé漢", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += ["", " ", "a", "\n\n", *texts[:5]]
+    got = [(ids.tolist(), *rest) for ids, *rest in nbest.Segmenter(vocabulary, 5).encoded(texts)]
+    assert got == [nbest.Segmenter(vocabulary, 5).encode(text) for text in texts]
+    assert list(nbest.Segmenter(vocabulary).encoded([])) == []
+    assert [nbest.Segmenter(vocabulary, 1).encode(text)[::2] for text in texts] == [(ids, []) for ids, *_ in got]
+
+
+def test_a_chunk_of_a_list_is_looked_up_once(vocabulary):
+    segmenter = nbest.Segmenter(vocabulary)
+    seen = []
+    segmenter.cache = type("Seen", (dict,), {"get": lambda self, key: seen.append(key)})()
+    list(segmenter.encoded(["one two one", "two two", "one"]))
+    assert sorted(seen) == [" one", " two"]
