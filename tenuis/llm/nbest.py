@@ -40,14 +40,16 @@ LONGEST = 64
 #: Chunks whose best segmentations are found side by side; fewer than LEAST are taken one at a time.
 TOGETHER = 2048
 LEAST = 64
-#: Bytes of texts that are segmented at a time; a longer text is alone.
+#: Bytes of texts that are segmented at a time; a longer text is alone. Behind other stages lists are short and chunks are
+#: taken one at a time, without the table of 16 MB.
 AT_ONCE = 1 << 20
+SHARED_AT_ONCE = 1 << 16
 _LOW = float("-inf")
 
 
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary, best: int = BEST, memory: tuple[int, int] | None = None):
-        self.vocabulary, self.best = vocabulary, best
+        self.vocabulary, self.best, self.together = vocabulary, best, memory is None
         self.cache_bytes, self.searched_bytes = memory or (CACHE_BYTES, SEARCHED_BYTES)
         self.pieces_in, self.covered = matcher(vocabulary).iter, covered(vocabulary)
         self.cache: dict[str, tuple[tuple[int, ...], float, float]] = {}
@@ -130,7 +132,7 @@ class Segmenter:
 
     def viterbi_of(self, found: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
         """The same for each of many chunks. Those of up to LONGEST letters of the table are taken side by side."""
-        if len(found) < LEAST:
+        if len(found) < LEAST or not self.together:
             return list(map(self.viterbi, found))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         letters = self.steps.letter.take(np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32))
@@ -380,4 +382,4 @@ def segmented(
 
         return compute
 
-    return with_text_columns(documents, [key], text, FIELDS, work, AT_ONCE)
+    return with_text_columns(documents, [key], text, FIELDS, work, AT_ONCE if memory is None else min(AT_ONCE, SHARED_AT_ONCE))
