@@ -5,6 +5,10 @@ priority is the least signed margin on its way, so the queue always opens the le
 least far from. The queue is followed until its best priority falls below a radius. The rows of the opened leaves are
 ranked exactly, by cosine in double precision on the original vectors.
 
+Rows are dealt out once, in groups of bounded bytes, and the queries meet every group; which leaves a query opens and in
+which a row lies is found where they meet. So no vector is copied per leaf, and Spark has no join whose sides it could
+take for small.
+
 Trees and radius are fitted on a sample of at most `SAMPLE_ROWS` vectors drawn by a hash of their ids (and at most
 `SAMPLE_BYTES`): the radius is the one at which `RECALL` of the true neighbours of sample vectors are found. Vectors
 without any structure make it large, clustered ones small. Every row is indexed; no leaf has a cap.
@@ -39,7 +43,10 @@ SAMPLE_QUERIES = 400
 LEAST_LEAF_SAMPLE = 16
 RECALL = 0.97
 ROW_BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 256
+#: Bytes of vectors that a group of rows or of queries has at most on average, and rows below which no more groups are made.
+GROUP_BYTES = 64 << 20
+LEAST_GROUP = 2048
 
 
 @dataclass(frozen=True)
@@ -62,6 +69,21 @@ class Forest:
             node = 2 * node + 1 + right
         return node - (2**self.depth - 1)
 
+    def opened(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Per tree, for every row as a query, whether its queue opens each leaf before its best priority falls below the radius.
+
+        A leaf's priority is the least signed margin on its way, and the queue opens exactly the leaves whose priority
+        reaches the radius; `search` gives them one after another, this for many queries at once."""
+        out = []
+        for directions, thresholds in zip(self.directions, self.thresholds, strict=True):
+            far = np.full((len(unit), 1), -np.inf)
+            margins = unit @ directions.T - thresholds
+            for level in range(self.depth):
+                here = margins[:, 2**level - 1 : 2 ** (level + 1) - 1]
+                far = np.stack([np.maximum(far, here), np.maximum(far, -here)], axis=2).reshape(len(unit), -1)
+            out.append(far <= self.radius)
+        return np.stack(out)
+
     def search(self, margins: np.ndarray) -> list[tuple[float, int, int]]:
         """(priority, tree, leaf) in the order in which one query opens leaves; margins[t][node] are its own."""
         first_leaf = 2**self.depth - 1
@@ -98,6 +120,12 @@ def grown(sample: np.ndarray, trees: int, depth: int, seed: int) -> tuple[np.nda
     return directions, thresholds
 
 
+def _nearest_of_sample(unit: np.ndarray, queries: np.ndarray, nearest: int) -> np.ndarray:
+    score = unit[queries] @ unit.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    return np.argsort(-score, axis=1, kind="stable")[:, :nearest]
+
+
 def fitted(sample: np.ndarray, rows: int, nearest: int = NEAREST, trees: int = TREES, recall: float = RECALL, seed: int = 11) -> Forest:
     """Trees of leaves of about LEAF_ROWS of all rows, and the radius that reaches `recall` on the sample."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
@@ -106,9 +134,7 @@ def fitted(sample: np.ndarray, rows: int, nearest: int = NEAREST, trees: int = T
     directions, thresholds = grown(unit, trees, depth, seed)
     forest = Forest(directions, thresholds, depth, np.inf)
     queries = np.random.default_rng(seed).choice(len(unit), min(SAMPLE_QUERIES, len(unit)), replace=False)
-    score = unit[queries] @ unit.T
-    score[np.arange(len(queries)), queries] = -np.inf
-    near = np.argsort(-score, axis=1, kind="stable")[:, : min(nearest, len(unit) - 1)]
+    near = np.concatenate([_nearest_of_sample(unit, queries[i : i + 25], min(nearest, len(unit) - 1)) for i in range(0, len(queries), 25)])
     best = np.full(near.shape, -np.inf)
     for tree in range(trees):
         margins = unit[queries] @ directions[tree].T - thresholds[tree]
@@ -137,26 +163,21 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     return scaled.select("id", F.transform("v", lambda x: x / F.col("_scale")).alias("v"))
 
 
-def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.concatenate([np.empty(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)]).reshape(-1, size)
 
-def _blocks(cells: np.ndarray, ids: np.ndarray, vectors: np.ndarray, owner: np.ndarray | None = None):
-    """One record per cell: cell, ids and vectors as bytes. owner: the row that each cell number belongs to."""
-    owner = np.arange(len(ids)) if owner is None else owner
-    order = np.argsort(cells, kind="stable")
-    cells, owner = cells[order], owner[order]
-    cuts = np.flatnonzero(np.diff(cells)) + 1
-    parts = np.split(owner, cuts) if len(cells) else []
-    heads = cells[np.concatenate([[0], cuts])] if len(cells) else []
-    return [(int(h), ids[p].tobytes(), vectors[p].tobytes()) for h, p in zip(heads, parts, strict=True)]
 
-
-def _batch(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else ([], [], [])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["cell", "ids", "vectors"]
-    )
+def _sample(rows: DataFrame, total: int, bound: int) -> pa.ChunkedArray:
+    """Vectors of the `bound` least hashes of ids. Only rows under a hash that about twice as many stay below are sorted;
+    ids may be too uneven for that, then all are."""
+    place = F.xxhash64("id")
+    share_of_all = 2 * bound / total
+    under = [rows.where(place < int(-(2**63) + share_of_all * 2**64))] if share_of_all < 0.9 else []
+    for some in (*under, rows):
+        drawn = some.orderBy(place, "id").limit(bound).select("v").toArrow().column(0)
+        if len(drawn) == bound:
+            break
+    return drawn
 
 
 def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -164,20 +185,33 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 
-def _nearest_pairs(q_ids, queries, r_ids, rows, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, exact score) of the nearest rows of each query of a block.
+def _opened_pairs(forest: Forest, q_ids, queries, r_ids, rows, leaf, nearest: int) -> list[np.ndarray]:
+    """(query id, row id, exact score) of the nearest rows, of those whose leaf is opened in any tree, for a block of queries.
 
-    The quick scores of one matrix product may differ in their last digits, so all near the edge are scored again."""
+    The quick scores of one matrix product may differ in their last digits, so all near the edge are scored again. The
+    edge of a query is the best so far of its nearest-th quick scores in one chunk of rows; no row below it can be nearest."""
+    trees = range(len(forest.directions))
     unit_q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    unit_r = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    quick = unit_q @ unit_r.T
-    quick[q_ids[:, None] == r_ids[None, :]] = -np.inf
-    k = min(nearest, len(r_ids))
-    edge = np.partition(quick, len(r_ids) - k, axis=1)[:, len(r_ids) - k]
-    at, row = np.nonzero((quick >= edge[:, None] - 1e-9) & (quick > -np.inf))
-    one, two = queries[at], rows[row]
-    scores = (one * two).sum(axis=1) / (np.sqrt((one * one).sum(axis=1)) * np.sqrt((two * two).sum(axis=1)))
-    return q_ids[at], r_ids[row], scores
+    opened = forest.opened(unit_q)
+    wanted = opened.any(axis=1)
+    some = np.flatnonzero(np.logical_or.reduce([wanted[t][leaf[t]] for t in trees]))
+    edge = np.full(len(q_ids), -np.inf)
+    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    for start in range(0, len(some), ROW_BLOCK):
+        at = some[start : start + ROW_BLOCK]
+        vectors, ids = rows[at], r_ids[at]
+        quick = unit_q @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+        inside = opened[0][:, leaf[0][at]]
+        for t in trees[1:]:
+            inside |= opened[t][:, leaf[t][at]]
+        quick[~inside | (q_ids[:, None] == ids[None, :])] = -np.inf
+        k = min(nearest, len(ids))
+        edge = np.maximum(edge, np.partition(quick, len(ids) - k, axis=1)[:, len(ids) - k]) if k == nearest else edge
+        query, row = np.nonzero((quick >= edge[:, None] - 1e-9) & (quick > -np.inf))
+        one, two = queries[query], vectors[row]
+        scores = (one * two).sum(axis=1) / (np.sqrt((one * one).sum(axis=1)) * np.sqrt((two * two).sum(axis=1)))
+        best = _best(*(np.concatenate(c) for c in zip(best, (q_ids[query], ids[row], scores), strict=True)), nearest)
+    return best
 
 
 def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, nearest: int) -> list[np.ndarray]:
@@ -205,62 +239,47 @@ def nearest_rows(
         return spark.createDataFrame([], schema)
     width = rows.select(F.size("v")).orderBy(F.xxhash64("id"), "id").limit(1000).groupBy("size(v)").count().orderBy(F.desc("count"), "size(v)").first()[0]
     rows = rows.where(F.size("v") == width)
-    bound = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow()
-    forest = fitted(_matrix(drawn.column(0).combine_chunks(), width), total, nearest, recall=recall)
-    shared = share(spark, forest)
+    drawn = _sample(rows, total, max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width))))
+    shared = share(spark, fitted(_matrix(drawn, width), total, nearest, recall=recall))
 
     same = W.partitionBy("v").orderBy("id")
     kept = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= nearest + 1).select("id", "v")
     asked = usable(queries, key, vector).where(F.size("v") == width)
-    questions = asked.count()
+    most = max(1, GROUP_BYTES // (8 * width))
+    parts = max(-(-total // most), min(-(-total // LEAST_GROUP), 2 * spark.sparkContext.defaultParallelism))
+    turns = -(-max(1, asked.count()) // most)
 
-    def index(batches):
-        forest = shared.value
-        for batch in batches:
-            vectors = _matrix(batch.column(1), width)
-            ids = batch.column(0).to_numpy()
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            found = []
-            for tree in range(len(forest.directions)):
-                found += _blocks((tree << forest.depth) + forest.leaves(unit, tree), ids, vectors)
-            yield _batch(found)
-
-    def ask(batches):
+    def rank(ours, theirs):
         forest = shared.value
-        for batch in batches:
-            vectors = _matrix(batch.column(1), width)
-            ids = batch.column(0).to_numpy()
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            margins = np.stack([unit @ d.T - t for d, t in zip(forest.directions, forest.thresholds, strict=True)], axis=1)
-            cells, owner = [], []
-            for row in range(len(ids)):
-                opened = forest.search(margins[row].tolist())
-                cells += [(tree << forest.depth) + leaf for _, tree, leaf in opened]
-                owner += [row] * len(opened)
-            yield _batch(_blocks(np.array(cells, dtype=np.int64), ids, vectors, np.array(owner, dtype=np.int64)))
-
-    def rank(batches):
-        for batch in batches:
-            found = []
-            for q_ids, q_vectors, r_ids, r_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.append(
-                    _nearest_pairs(
-                        np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(q_vectors, dtype=np.float64).reshape(-1, width),
-                        np.frombuffer(r_ids, dtype=np.int64), np.frombuffer(r_vectors, dtype=np.float64).reshape(-1, width), nearest,
-                    )
-                )
-                if len(found) >= 500:
-                    found = [_best(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)]
-            if found:
-                best = _best(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
-
-    block = "cell long, ids binary, vectors binary"
-    cells = kept.repartition(-(-total // ROW_BLOCK)).mapInArrow(index, block)
-    doors = asked.repartition(max(1, -(-questions // QUERY_BLOCK))).mapInArrow(ask, block)
-    met = doors.select("cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(cells, "cell").drop("cell")
-    found = met.mapInArrow(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        r_ids, rows = ours.column("id").to_numpy(), _matrix(ours.column("v"), width)
+        leaf = np.empty((len(forest.directions), len(r_ids)), dtype=np.int32)
+        for start in range(0, len(r_ids), ROW_BLOCK):
+            part = rows[start : start + ROW_BLOCK]
+            unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+            for tree in range(len(leaf)):
+                leaf[tree, start : start + ROW_BLOCK] = forest.leaves(unit, tree)
+        q_ids, asking = theirs.column("id").to_numpy(), _matrix(theirs.column("v"), width)
+        order = np.argsort(forest.leaves(asking / np.linalg.norm(asking, axis=1, keepdims=True), 0), kind="stable")
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for start in range(0, len(order) if len(r_ids) else 0, QUERY_BLOCK):
+            at = order[start : start + QUERY_BLOCK]
+            mine = _opened_pairs(forest, q_ids[at], asking[at], r_ids, rows, leaf, nearest)
+            found = [np.concatenate(c) for c in zip(found, mine, strict=True)]
+        return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    def dealt(frame: DataFrame, part, turn) -> DataFrame:
+        return frame.withColumns({"part": part, "turn": turn}).repartition(parts * turns, "part", "turn").groupBy("part", "turn")
+
+    def number(count: int, *columns: str):
+        return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    ours = dealt(kept.withColumn("turn", every(turns)), number(parts, "id", "v"), F.col("turn"))
+    theirs = dealt(asked.withColumn("part", every(parts)), F.col("part"), number(turns, "id"))
+    met = ours.cogroup(theirs).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

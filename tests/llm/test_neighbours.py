@@ -73,3 +73,22 @@ def test_queue_opens_leaves_in_falling_priority():
     opened = forest.search(margins)
     assert [p for p, _, _ in opened] == sorted((p for p, _, _ in opened), reverse=True)
     assert {(t, int(forest.leaves(unit[:1], t)[0])) for t in range(len(margins))} <= {(t, leaf) for _, t, leaf in opened}
+
+
+def test_leaves_opened_at_once_are_those_of_the_queue():
+    sample = np.random.default_rng(6).standard_normal((600, 8))
+    forest = neighbours.fitted(sample, 9000)
+    unit = sample[:40] / np.linalg.norm(sample[:40], axis=1, keepdims=True)
+    opened = forest.opened(unit)
+    for row, one in enumerate(unit):
+        margins = [(one @ d.T - t).tolist() for d, t in zip(forest.directions, forest.thresholds, strict=True)]
+        assert {(t, leaf) for _, t, leaf in forest.search(margins)} == {(int(t), int(leaf)) for t, leaf in np.argwhere(opened[:, row])}
+
+
+def test_many_groups_give_the_same_and_nothing_is_broadcast(spark, monkeypatch):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 700")
+    whole = neighbours.report(table)
+    want = found(whole)
+    assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 5 * 64 * 8)
+    assert found(neighbours.report(table)) == want
